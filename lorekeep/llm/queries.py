@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_terms, q_setjoin
+from . import q_terms, q_neardup, q_setjoin
 
-MODULES = [q_terms, q_setjoin]
+MODULES = [q_terms, q_setjoin, q_neardup]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
