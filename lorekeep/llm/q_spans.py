@@ -8,12 +8,8 @@ from ..session import table
 from .spans import coverage, shared_between
 
 
-def _shared(spark, sf_dir):
-    return shared_between(table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
 def p8_found(spark, sf_dir):
-    members, pairs = _shared(spark, sf_dir)
+    members, pairs = shared_between(table(spark, sf_dir, "documents"), "doc_id", "text")
     one, two = members.select("class", F.col("id").alias("x")), members.select("class", F.col("id").alias("y"))
     across = pairs.join(one.withColumnRenamed("class", "class_a"), "class_a").join(two.withColumnRenamed("class", "class_b"), "class_b").select("x", "y")
     within = one.join(two, "class").where("x < y").select("x", "y")
@@ -22,8 +18,8 @@ def p8_found(spark, sf_dir):
 
 
 def p8_coverage(spark, sf_dir):
-    """Per document with shared stretches: its characters, those of them that stand in other documents, and with how many different texts it shares them."""
-    return coverage(*_shared(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    """Per document with shared stretches: its characters, those of them that stand in other documents, and the copies of the whole text."""
+    return coverage(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {"p8_found": p8_found, "p8_coverage": p8_coverage}

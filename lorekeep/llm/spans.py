@@ -26,7 +26,7 @@ from .automaton import SuffixAutomaton
 from .leak import merged
 from .words import mix
 
-LEAST, SHARD_CHARS, SALT_ROWS = 400, 1_000_000, 2_000
+LEAST, SHARD_CHARS, SALT_ROWS = 400, 500_000, 500
 CHUNK_GRAM, CHUNK_WINDOW = 8, 24
 #: Long texts are hashed in blocks of so many code points, which overlap.
 BLOCK = 1 << 20
@@ -142,28 +142,50 @@ def _joined(at: np.ndarray, least: int) -> list[tuple[int, int]]:
     return [(int(at[i]), int(at[j]) + least) for i, j in zip(first, last, strict=True)]
 
 
-def shared_spans(a: np.ndarray, b: np.ndarray, least: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """The parts of a, and of b, covered by stretches of at least `least` code points that stand in both. Hashes propose, the code points decide."""
-    ha, hb = gram_hashes(a, least), gram_hashes(b, least)
-    common = np.intersect1d(ha, hb)
-    if not len(common):
+class Stretches:
+    """All stretches of `least` code points of a text, found by hash."""
+
+    def __init__(self, points: np.ndarray, least: int):
+        self.points, self.least = points, least
+        self.hashes = gram_hashes(points, least)
+        self.order = np.argsort(self.hashes, kind="stable")
+        self.sorted = self.hashes[self.order]
+
+    def among(self, other: Stretches) -> np.ndarray:
+        """Which of its stretches have a hash of the other's, by position."""
+        at = np.searchsorted(other.sorted, self.sorted)
+        at[at == len(other.sorted)] = 0
+        out = np.zeros(len(self.hashes), bool)
+        if len(other.sorted):
+            out[self.order] = other.sorted[at] == self.sorted
+        return out
+
+    def bytes_at(self, i: int) -> bytes:
+        return self.points[i : i + self.least].tobytes()
+
+
+def _enough(at: np.ndarray, least: int) -> list[int]:
+    """Positions whose stretches cover those of all the sorted positions `at`: the first in every half of `least`, the last of every run."""
+    firsts = np.flatnonzero(np.diff(at // (least // 2), prepend=-1))
+    lasts = np.flatnonzero(np.diff(at, append=at[-1] + 2) > 1)
+    return at[np.union1d(firsts, lasts)].tolist()
+
+
+def shared_spans(a: Stretches, b: Stretches) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The parts of a, and of b, covered by stretches that stand in both. Hashes propose, the code points decide."""
+    at_b = np.flatnonzero(b.among(a))
+    if not len(at_b):
         return [], []
-    at_a, at_b = np.flatnonzero(np.isin(ha, common)), np.flatnonzero(np.isin(hb, common))
-    where = dict(zip(ha[at_a].tolist(), at_a.tolist(), strict=True))
-    # the first stretch of every half of `least` and the last of every run cover all of them
-    firsts = np.flatnonzero(np.diff(at_b // (least // 2), prepend=-1))
-    lasts = np.flatnonzero(np.diff(at_b, append=at_b[-1] + 2) > 1)
-    for i in at_b[np.union1d(firsts, lasts)].tolist():
-        j = where[int(hb[i])]
-        if not np.array_equal(a[j : j + least], b[i : i + least]):
-            break
-    else:
-        return _joined(at_a, least), _joined(at_b, least)
+    at_a = np.flatnonzero(a.among(b))
+    some = _enough(at_b, a.least)
+    partners = a.order[np.searchsorted(a.sorted, b.hashes[some])].tolist()
+    if all(np.array_equal(a.points[j : j + a.least], b.points[i : i + a.least]) for i, j in zip(some, partners, strict=True)):
+        return _joined(at_a, a.least), _joined(at_b, a.least)
     # two different stretches have one hash: decide by the stretches themselves
-    have = {a[i : i + least].tobytes() for i in at_a.tolist()} & {b[i : i + least].tobytes() for i in at_b.tolist()}
-    at_a = np.array([i for i in at_a.tolist() if a[i : i + least].tobytes() in have], int)
-    at_b = np.array([i for i in at_b.tolist() if b[i : i + least].tobytes() in have], int)
-    return (_joined(at_a, least), _joined(at_b, least)) if have else ([], [])
+    have = {a.bytes_at(i) for i in at_a.tolist()} & {b.bytes_at(i) for i in at_b.tolist()}
+    at_a = np.array([i for i in at_a.tolist() if a.bytes_at(i) in have], int)
+    at_b = np.array([i for i in at_b.tolist() if b.bytes_at(i) in have], int)
+    return (_joined(at_a, a.least), _joined(at_b, a.least)) if have else ([], [])
 
 
 def _winnow(least: int):
@@ -177,14 +199,15 @@ def _winnow(least: int):
 
 class _Shard:
     def __init__(self, least: int):
-        self.least, self.automaton, self.points, self.names, self.ids = least, SuffixAutomaton(), [], [], {}
+        self.least, self.automaton, self.texts, self.names, self.ids = least, SuffixAutomaton(), [], [], {}
+        self.all: tuple | None = None
 
     def add(self, name: str, text: str) -> None:
         points = code_points(text)
         _, symbols = chunks(points)
         self.automaton.add([self.ids.setdefault(s, len(self.ids)) for s in symbols.tolist()], len(self.names))
         self.names.append(name)
-        self.points.append(points)
+        self.texts.append(Stretches(points, self.least))
 
     def candidates(self, points: np.ndarray) -> set[int]:
         """Reference texts that hold, in whole chunks, what a stretch of `least` code points must have in common."""
@@ -199,8 +222,46 @@ class _Shard:
                 found |= sa.owners(sa.suffix_state(v, i + 1 - start))
         return found
 
+    def shared_with_any(self, text: Stretches, own: int) -> list[tuple[int, int]]:
+        """The parts of a text covered by stretches that stand in any reference text but number `own`, without going through them one by one."""
+        if self.all is None:
+            hashes = np.concatenate([t.hashes for t in self.texts])
+            owners = np.repeat(np.arange(len(self.texts)), [len(t.hashes) for t in self.texts])
+            places = np.concatenate([np.arange(len(t.hashes)) for t in self.texts])
+            order = np.lexsort((owners, hashes))
+            self.all = hashes[order], owners[order], places[order]
+        hashes, owners, places = self.all
+        first, last = np.searchsorted(hashes, text.hashes), np.searchsorted(hashes, text.hashes, "right") - 1
+        at = np.flatnonzero(first <= last)
+        at = at[(owners[first[at]] != own) | (owners[last[at]] != own)]
+        if not len(at):
+            return []
+
+        def stands(i: int, every: bool) -> bool:
+            for k in range(first[i], last[i] + 1):
+                if owners[k] != own:
+                    if np.array_equal(self.texts[owners[k]].points[places[k] : places[k] + self.least], text.points[i : i + self.least]):
+                        return True
+                    if not every:
+                        return False
+            return False
+
+        if not all(stands(i, False) for i in _enough(at, self.least)):  # two different stretches have one hash
+            at = np.array([i for i in at.tolist() if stands(i, True)], int)
+        return _joined(at, self.least) if len(at) else []
+
+
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_SPAN_SQL = "array<struct<start: bigint, end: bigint>>"
+
+
+def _spans(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPAN)
+
+
+def _match(least: int, pairs: bool):
+    """Rows come by shard, in it the references (role 0) before the texts to stream."""
 
-def _match(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, shard = None, None
         for b in batches:
@@ -213,29 +274,28 @@ def _match(least: int):
                     shard.add(name, text)
                     continue
                 points = code_points(text)
-                for r in shard.candidates(points):
-                    if shard.names[r] >= name:
-                        continue
-                    mine, yours = shared_spans(shard.points[r], points, least)
-                    if mine:
-                        out.append((shard.names[r], name, mine, yours))
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            spans = lambda c: pa.array([[{"start": s, "end": e} for s, e in x[c]] for x in out], span)  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), spans(2), spans(3)],
-                ["class_a", "class_b", "spans_a", "spans_b"],
-            )
+                near = [r for r in shard.candidates(points) if (shard.names[r] < name if pairs else shard.names[r] != name)]
+                if not near:
+                    continue
+                mine = Stretches(points, least)
+                if not pairs:
+                    own = shard.names.index(name) if name in shard.names else -1
+                    if spans := shard.shared_with_any(mine, own):
+                        out.append((name, spans))
+                    continue
+                for r in near:
+                    theirs, ours = shared_spans(shard.texts[r], mine)
+                    if theirs:
+                        out.append((shard.names[r], name, theirs, ours))
+            names = [pa.array([x[c] for x in out], pa.string()) for c in range(1 + pairs)]
+            spans = [_spans([x[c] for x in out]) for c in range(1 + pairs, 2 + 2 * pairs)]
+            yield pa.RecordBatch.from_arrays(names + spans, ["class_a", "class_b", "spans_a", "spans_b"] if pairs else ["class", "spans"])
 
     return run
 
 
-def shared_between(docs: DataFrame, key: str, text: str, least: int = LEAST, shard_chars: int = SHARD_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): members is class, id, n_chars of every text of at least `least` code points; pairs is class_a, class_b
-    (class_a < class_b), spans_a, spans_b: the spans of each that stand in the other.
-
-    A class is a text (its 128-bit digest); texts of one class share everything. Shorter, empty and null texts can share nothing and
-    are in no class. Null keys are ignored; a repeated key with the same text counts once. Other columns are not read.
-    """
+def _routed(docs: DataFrame, key: str, text: str, least: int, shard_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(members, work): work has the rows for _match, each shard's in one partition, references first."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= least))
     docs = docs.withColumn("class", F.md5(F.col("text").cast("binary")))
     members = materialise(docs.select("class", "id", F.length("text").alias("n_chars")).distinct(), "members")
@@ -250,30 +310,41 @@ def shared_between(docs: DataFrame, key: str, text: str, least: int = LEAST, sha
     chars = cands.agg(F.sum("n_chars")).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
     shard = F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int")
-    # which shards a candidate must go through: those of the other texts with one of its hashes, once each
+    # which shards a candidate must go through: those of the texts with one of its hashes, once each
     goals = met.select("print", shard.alias("shard")).distinct()
     routes = materialise(met.join(goals, "print").select("class", "shard").distinct(), "routes")
-    salts = routes.groupBy("shard").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
+    # a shard that many texts must go through is set up several times, each for a share of them
+    salts = materialise(routes.groupBy("shard").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")), "salts")
+    groups = salts.agg(F.sum("salts")).first()[0] or 1
     streams = routes.join(salts, "shard").select("shard", F.pmod(F.xxhash64("class", F.lit(1)), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "class")
     references = cands.select("class", shard.alias("shard")).join(salts, "shard")
     references = references.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "class")
     texts = docs.join(small(cands.select("class", "id"), 90), ["class", "id"]).select("class", "text").dropDuplicates(["class"])
     texts = materialise(texts, "candidate-texts")
     work = references.unionByName(streams).join(texts, "class").select("shard", "salt", "role", "class", "text")
-    work = work.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "role", "class")
-    span = "array<struct<start: bigint, end: bigint>>"
-    pairs = work.mapInArrow(_match(least), f"class_a string, class_b string, spans_a {span}, spans_b {span}")
-    return members, materialise(pairs, "shared-spans")
+    # a fixed number of partitions: the work per byte is too high for the sizes that adaptive execution aims at
+    return members, work.repartition(groups, "shard", "salt").sortWithinPartitions("shard", "salt", "role", "class")
+
+
+def shared_between(docs: DataFrame, key: str, text: str, least: int = LEAST, shard_chars: int = SHARD_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): members is class, id, n_chars of every text of at least `least` code points; pairs is class_a, class_b
+    (class_a < class_b), spans_a, spans_b: the spans of each that stand in the other.
+
+    A class is a text (its 128-bit digest); texts of one class share everything. Shorter, empty and null texts can share nothing and
+    are in no class. Null keys are ignored; a repeated key with the same text counts once. Other columns are not read.
+    """
+    members, work = _routed(docs, key, text, least, shard_chars)
+    pairs = work.mapInArrow(_match(least, True), f"class_a string, class_b string, spans_a {_SPAN_SQL}, spans_b {_SPAN_SQL}")
+    return members, materialise(pairs, "shared-pairs")
 
 
-def coverage(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, n_chars, n_shared, n_classes: per text with shared stretches, how many of its characters stand in other texts too, and in how many different other texts."""
-    a = pairs.select(F.col("class_a").alias("class"), F.col("class_b").alias("other"), F.col("spans_a").alias("spans"))
-    sides = a.unionByName(pairs.select(F.col("class_b").alias("class"), F.col("class_a").alias("other"), F.col("spans_b").alias("spans")))
-    spans = merged(sides.select("class", F.inline("spans")), "class")
+def coverage(docs: DataFrame, key: str, text: str, least: int = LEAST, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """id, n_chars, n_shared, copies: per text with shared stretches, how many of its characters stand in other rows' texts too, and how
+    many rows have just this text. Makes no pairs: a passage that many texts share costs each of them one row per shard. Nulls and repeats as above."""
+    members, work = _routed(docs, key, text, least, shard_chars)
+    spans = merged(work.mapInArrow(_match(least, False), f"class string, spans {_SPAN_SQL}").select("class", F.inline("spans")), "class")
     covered = spans.groupBy("class").agg(F.sum(F.col("end") - F.col("start")).alias("n_part"))
-    others = sides.groupBy("class").agg(F.countDistinct("other").alias("n_classes"))
-    copies = members.groupBy("class").agg(F.count("*").alias("copies")).where("copies > 1")
-    out = members.join(covered, "class", "left").join(others, "class", "left").join(copies, "class", "left").where("n_part IS NOT NULL OR copies IS NOT NULL")
-    n = F.when(F.col("copies").isNotNull(), F.col("n_chars").cast("bigint")).otherwise(F.col("n_part"))
-    return out.select("id", "n_chars", n.alias("n_shared"), F.coalesce("n_classes", F.lit(0)).alias("n_classes"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    copies = members.groupBy("class").agg(F.count("*").alias("copies"))
+    out = members.join(copies, "class").join(covered, "class", "left").where("n_part IS NOT NULL OR copies > 1")
+    n = F.when(F.col("copies") > 1, F.col("n_chars").cast("bigint")).otherwise(F.col("n_part"))
+    return out.select("id", "n_chars", n.alias("n_shared"), "copies")

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lorekeep.llm import spans
-from lorekeep.llm.spans import chunks, code_points, coverage, gram_hashes, shared_between, shared_spans, sliding_least
+from lorekeep.llm.spans import Stretches, _Shard, chunks, code_points, coverage, gram_hashes, shared_between, shared_spans, sliding_least
 
 
 def brute(rows, least):
@@ -59,9 +59,10 @@ def test_pairs_and_coverage(spark):
         for r in listed:
             got |= {(min(a, b), max(a, b)) for a in names[r.class_a] for b in names[r.class_b]}
         assert got == pairs
-        assert {r.id: r.n_shared for r in coverage(members, found).collect()} == cover
+        assert {r.id: r.n_shared for r in coverage(df, "doc_id", "text", 400, shard_chars).collect()} == cover
     members, found = shared_between(df.limit(0), "doc_id", "text")
     assert members.count() == found.count() == 0
+    assert coverage(df.limit(0), "doc_id", "text").count() == 0
 
 
 @settings(max_examples=100, deadline=None)
@@ -86,6 +87,11 @@ def test_blocks_change_nothing(monkeypatch):
 
 def test_equal_hashes_are_decided_by_the_text(monkeypatch):
     monkeypatch.setattr(spans, "gram_hashes", lambda p, k: np.zeros(max(0, len(p) - k + 1), np.uint64))
-    a, b = code_points("xxabcdexx"), code_points("yabcdez")
-    assert shared_spans(a, b, 5) == ([(2, 7)], [(1, 6)])
-    assert shared_spans(a, code_points("0123456"), 5) == ([], [])
+    a, b = Stretches(code_points("xxabcdexx"), 5), Stretches(code_points("yabcdez"), 5)
+    assert shared_spans(a, b) == ([(2, 7)], [(1, 6)])
+    assert shared_spans(a, Stretches(code_points("0123456"), 5)) == ([], [])
+    shard = _Shard(5)
+    shard.add("one", "xxabcdexx")
+    shard.add("two", "yabcdez")
+    assert shard.shared_with_any(b, 1) == [(1, 6)] and shard.shared_with_any(b, 0) == [(0, 7)]
+    assert shard.shared_with_any(Stretches(code_points("0123456"), 5), -1) == []
