@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from .components import components
+from ..operators.components import components
 from .neardup import similar_texts
 
 THRESHOLD = 0.6

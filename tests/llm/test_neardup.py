@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lorekeep.llm.components import components
+from lorekeep.operators.components import components
 from lorekeep.llm.neardup import similar_texts
 from lorekeep.llm.words import WORD, WordHashes, shingles
 
