@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries, orphan_queries, search_queries, wiki_queries
+from . import graph_queries, orphan_queries, pipeline_queries, search_queries, wiki_queries
 
-MODULES = [orphan_queries, graph_queries, search_queries, wiki_queries]
+MODULES = [orphan_queries, graph_queries, search_queries, wiki_queries, pipeline_queries]
 
 
 def queries() -> dict:
