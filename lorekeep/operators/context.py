@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import jaccard, token_set
 from ..session import materialise
 from . import graph
-from .search import find_hits, is_synthesized, phases, search_kinds, with_boost
+from .search import Wanted, find_hits, is_synthesized, ranked_lists, search_kinds, with_boost
 
 LEAST_SCORE, LEAST_SYNTH, LEAST_DESCRIPTION, ALIKE = 0.025, 0.012, 30, 0.5
 MOST_RAW, MOST_NEIGHBOURS = 3, 3
@@ -77,13 +77,10 @@ def build(pages: DataFrame, links: DataFrame, question: str, limit: int = 10) ->
         return Bundle(question)
     columns = ["id", "path", "kind", "title", "description", "snippet", "score", "position"]
     found = search_kinds(hits, "wiki", None, limit * 8).where(F.col("position") <= limit * 2)
-    lists = [found.withColumn("score", F.col("rrf")).select(*columns, F.lit(0).alias("list"))]
-    for n, kind in enumerate(("concept", "comparison", "decision"), 1):
-        extra = phases(hits, "wiki", kind, limit).withColumn("score", F.lit(LEAST_SYNTH))
-        lists.append(extra.select(*columns, F.lit(n).alias("list")))
-    both = lists[0]
-    for x in lists[1:]:
-        both = both.unionByName(x)
+    found = found.withColumn("score", F.col("rrf")).select(*columns, F.lit(0).alias("list"))
+    extra = ranked_lists(hits, [Wanted("wiki", kind, limit) for kind in ("concept", "comparison", "decision")])
+    extra = extra.withColumn("score", F.lit(LEAST_SYNTH)).select(*columns, (F.col("list") + 1).alias("list"))
+    both = found.unionByName(extra)
     once = both.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("list"))).where("_n = 1").drop("_n")
     once = once.withColumn("position", F.row_number().over(Window.orderBy("list", "position")))  # a bounded list
     once = materialise(once, "context")

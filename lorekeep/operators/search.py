@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, spread
 
 K1, B_LENGTH, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K = 60
@@ -81,7 +81,7 @@ def find_hits(pages: DataFrame, query: str) -> Hits | None:
         else (F.contains(text["title"], F.lit(k.lower())) | F.contains(text["content"], F.lit(k.lower()))).alias(f"like{i}")
         for i, k in enumerate(short)
     ]
-    seen = pages.select(
+    seen = spread(pages, "id").select(
         "id", "path", "layer", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("description", F.lit("")).alias("description"), F.coalesce("authority", F.lit(3)).alias("authority"),
         F.coalesce("doc_timestamp", F.lit(0)).alias("doc_timestamp"), length.alias("length"), *counts, *likes,
@@ -110,12 +110,6 @@ def find_hits(pages: DataFrame, query: str) -> Hits | None:
     return Hits(rows, keywords, long, short)
 
 
-def _filtered(rows: DataFrame, layer: str | None, kind: str | None) -> DataFrame:
-    if layer is not None:
-        rows = rows.where(F.col("layer") == layer)
-    return rows if kind is None else rows.where(F.col("kind") == kind)
-
-
 _BEST = ["wiki_priority DESC", "fts_rank", "id"]
 _ORDER = ["wiki_priority DESC", "match_phase", "coverage DESC", "fts_rank", "id"]
 
@@ -124,29 +118,53 @@ def _sorting(names: list[str]) -> list[Column]:
     return [F.desc(n.split()[0]) if n.endswith(" DESC") else F.asc(n) for n in names]
 
 
-def phases(hits: Hits, layer: str | None, kind: str | None, limit: int) -> DataFrame:
-    """The three phases: all long keywords (0), any long keyword (1), each short keyword (2); a page counts in its first phase.
-    Each phase takes its best limit * keywords rows before pages of earlier phases are taken out. Sorted by layer, phase, coverage and
-    rank; `position` counts from 1."""
-    rows, most = _filtered(hits.rows, layer, kind), limit * len(hits.keywords)
-    base = rows.withColumn("fts_rank", F.col("rank"))
-    parts = []
-    if len(hits.long) >= 2:
-        parts.append(base.where(F.col("long_hits") == len(hits.long)).orderBy(*_sorting(_BEST)).limit(most).withColumn("match_phase", F.lit(0)))
-    if hits.long:
-        parts.append(base.where("long_hits > 0").orderBy(*_sorting(_BEST)).limit(most).withColumn("match_phase", F.lit(1)))
-    for i in range(len(hits.short)):
-        like = base.where(f"short_{i}").withColumn("fts_rank", F.lit(0.0)).withColumn("snippet", F.lit(""))
-        parts.append(like.orderBy(*_sorting(_BEST)).limit(most).withColumn("match_phase", F.lit(2)))
-    both = reduce(DataFrame.unionByName, parts)
-    first = Window.partitionBy("id").orderBy("match_phase")
-    one = both.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+@dataclass(frozen=True)
+class Wanted:
+    """One ranked list: pages of a layer and a kind (None for any), the first `limit`."""
+
+    layer: str | None
+    kind: str | None
+    limit: int
+
+
+def ranked_lists(hits: Hits, wanted: list[Wanted]) -> DataFrame:
+    """All lists in one job, told apart by `list`; `position` counts from 1 in each.
+
+    A list has three phases: all long keywords (0), any long keyword (1), each short keyword (2); a page counts in its first phase.
+    Each phase takes its best limit * keywords rows before pages of earlier phases are taken out. A list is sorted by layer, phase, coverage and
+    rank. Every window takes the first rows of its group, so tasks send only those."""
+    steps = [F.col("long_hits") == len(hits.long)] if len(hits.long) >= 2 else []
+    steps += [F.col("long_hits") > 0] if hits.long else []
+    first_short = len(steps)
+    steps += [F.col(f"short_{i}") for i in range(len(hits.short))]
+    places = []
+    for n, w in enumerate(wanted):
+        inside = F.lit(True)
+        inside = inside if w.layer is None else inside & (F.col("layer") == w.layer)
+        inside = inside if w.kind is None else inside & (F.col("kind") == w.kind)
+        places += [F.when(inside & c, F.struct(F.lit(n).alias("list"), F.lit(i).alias("step"))) for i, c in enumerate(steps)]
+    rows = hits.rows.select("*", F.inline(F.filter(F.array(*places), lambda x: x.isNotNull())))
+    is_short = F.col("step") >= first_short
+    rows = rows.withColumn("fts_rank", F.when(is_short, 0.0).otherwise(F.col("rank"))).withColumn("snippet", F.when(is_short, "").otherwise(F.col("snippet")))
+    limit = F.element_at(F.array(*[F.lit(w.limit) for w in wanted]), F.col("list") + 1)
+    most = max(w.limit for w in wanted)
+    top = F.row_number().over(Window.partitionBy("list", "step").orderBy(*_sorting(_BEST)))
+    rows = rows.withColumn("_n", top).where(F.col("_n") <= most * len(hits.keywords)).where(F.col("_n") <= limit * len(hits.keywords))
+    once = F.row_number().over(Window.partitionBy("list", "id").orderBy("step"))
+    rows = rows.withColumn("_n", once).where("_n = 1").drop("_n")
+    phase = F.when(is_short, 2).when(F.lit(len(hits.long) >= 2) & (F.col("step") == 0), 0).otherwise(1)
     shown = F.lower(F.concat_ws(" ", "title", "snippet"))
     covered = reduce(lambda x, y: x + y, (F.contains(shown, F.lit(k.lower())).cast("int") for k in hits.keywords))
-    coverage = F.when(F.col("match_phase") == 0, len(hits.keywords)).otherwise(covered)
-    best = one.withColumn("coverage", coverage).orderBy(*_sorting(_ORDER)).limit(limit)
+    rows = rows.withColumn("match_phase", phase).withColumn("coverage", F.when(F.col("match_phase") == 0, len(hits.keywords)).otherwise(covered))
+    position = F.row_number().over(Window.partitionBy("list").orderBy(*_sorting(_ORDER)))
+    rows = rows.withColumn("position", position).where(F.col("position") <= most).where(F.col("position") <= limit)
     columns = ["id", "path", "layer", "kind", "title", "description", "snippet", "wiki_priority", "authority", "doc_timestamp", "fts_rank", "match_phase", "coverage"]
-    return best.select(*columns, F.row_number().over(Window.orderBy(*_sorting(_ORDER))).alias("position"))
+    return rows.select("list", *columns, "position")
+
+
+def phases(hits: Hits, layer: str | None, kind: str | None, limit: int) -> DataFrame:
+    """One list, as ranked_lists has it."""
+    return ranked_lists(hits, [Wanted(layer, kind, limit)]).drop("list")
 
 
 def search(pages: DataFrame, query: str, layer: str | None = None, kind: str | None = None, limit: int = 10) -> DataFrame | None:
@@ -154,16 +172,15 @@ def search(pages: DataFrame, query: str, layer: str | None = None, kind: str | N
     return phases(hits, layer, kind, limit) if hits else None
 
 
-def fuse(lists: list[DataFrame], limit: int) -> DataFrame:
-    """Reciprocal rank fusion of lists with a `position`: the sum of 1 / (60 + position) per id; a page's columns come from the
+def fuse(lists: DataFrame, limit: int) -> DataFrame:
+    """Reciprocal rank fusion of lists (columns list, position): the sum of 1 / (60 + position) per id; a page's columns come from the
     first list that has it; ties go by id."""
-    numbered = reduce(DataFrame.unionByName, [x.withColumn("list", F.lit(n)) for n, x in enumerate(lists)])
-    columns = [c for c in lists[0].columns if c not in ("id", "position")]
-    fused = numbered.groupBy("id").agg(
+    columns = [c for c in lists.columns if c not in ("id", "position", "list")]
+    fused = lists.groupBy("id").agg(
         F.min_by(F.struct(*columns), "list").alias("page"), F.sum(1.0 / (RRF_K + F.col("position"))).alias("rrf"), F.count("*").alias("lists")
     )
     best = fused.orderBy(F.desc("rrf"), "id").limit(limit).select("id", "page.*", "rrf", "lists")
-    return best.withColumn("position", F.row_number().over(Window.orderBy(F.desc("rrf"), "id")))
+    return best.withColumn("position", F.row_number().over(Window.orderBy(F.desc("rrf"), "id")))  # of `limit` rows
 
 
 def search_kinds(hits: Hits, layer: str | None, kind: str | None, limit: int, strict_layer: bool = False) -> DataFrame:
@@ -171,11 +188,10 @@ def search_kinds(hits: Hits, layer: str | None, kind: str | None, limit: int, st
     list of any kind in the caller's layer. strict_layer keeps pages of other layers out."""
     if kind is not None:
         return phases(hits, layer, kind, limit).withColumn("rrf", F.lit(0.0)).withColumn("lists", F.lit(1).cast("bigint"))
-    wiki = "wiki" if not strict_layer or layer is None else layer
-    lists = [phases(hits, wiki, "source-note", limit * 10)] if not strict_layer or wiki == "wiki" else []
-    if not strict_layer or wiki == "wiki":
-        lists += [phases(hits, wiki, k, limit * 3) for k in ("concept", "comparison", "decision")]
-    return fuse([*lists, phases(hits, layer, None, limit * 3)], limit)
+    wanted = [Wanted("wiki", "source-note", limit * 10), *(Wanted("wiki", k, limit * 3) for k in ("concept", "comparison", "decision"))]
+    if strict_layer and layer not in (None, "wiki"):
+        wanted = []
+    return fuse(ranked_lists(hits, [*wanted, Wanted(layer, None, limit * 3)]), limit)
 
 
 def graph_boost(links: DataFrame) -> DataFrame:
