@@ -228,7 +228,8 @@ class KnowledgeBase:
         from .functions.notes import set_sources, unfenced
 
         n = 0
-        for p in synthesis.routed(plans, pages).orderBy("dest").toLocalIterator():
+        have_pages = pages.select("id", "content").unionByName(self.drafts())
+        for p in synthesis.routed(plans, have_pages).orderBy("dest").toLocalIterator():
             at = Path(self.root, p.dest)
             old = at.read_text() if at.exists() else ""
             text = unfenced(llm(f"{p.step} a {p.type} page.", f"{p.title}\n{p.description}\n\n{old}"))
@@ -242,16 +243,18 @@ class KnowledgeBase:
             at.write_text(text)
             n += 1
         self.reindex()
-        for r in synthesis.graduates(self.table_with_drafts()).toLocalIterator():
+        for r in synthesis.graduates(self.drafts()).toLocalIterator():
             Path(self.root, r.id).rename(Path(self.root, r.dest))
         self._save(state=synthesis.recorded(self.table("state"), notes))
         return n
 
-    def table_with_drafts(self) -> DataFrame:
-        """id, content of the wiki's drafts, which are no pages yet."""
-        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(f"file://{self.root}/wiki")
-        ids = found.select(kb_files.relative(self.root, F.col("path")).alias("id"), F.decode("content", "UTF-8").alias("content"))
-        return ids.where(F.contains("id", F.lit("/_draft/")))
+    def drafts(self) -> DataFrame:
+        """id, content of the wiki's drafts, which are no pages yet. Spark lists no folder that begins with `_` unless it is named."""
+        folders = [f"file://{p}" for p in Path(self.root, "wiki").glob("*/_draft") if any(p.iterdir())]
+        if not folders:
+            return self.spark.createDataFrame([], "id string, content string")
+        found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folders)
+        return found.select(kb_files.relative(self.root, F.col("path")).alias("id"), F.decode("content", "UTF-8").alias("content"))
 
     def gaps(self, llm: synthesis.Llm, topic: str) -> str:
         path, report = synthesis.gap_report(synthesis.source_notes(self.table("pages")), topic, llm)

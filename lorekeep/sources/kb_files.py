@@ -1,4 +1,7 @@
-"""Knowledge bases on disk: which files are pages, and what is missing among them."""
+"""Knowledge bases on disk: which files are pages, and what is missing among them.
+
+Spark's file sources list no file or folder whose name begins with `.` or `_`, so such files are never pages here.
+"""
 
 from __future__ import annotations
 

@@ -1,0 +1,73 @@
+import json
+from pathlib import Path
+
+import pytest
+
+import __spark_entry__ as entry
+from lorekeep.api import KnowledgeBase, RequestError, init, main
+
+PAGE = "---\ntitle: Go\ntype: concept\nsources:\n  - raw/go.md\ntimestamp: 2026-01-01\n---\nGo compiles fast. [[Other]]\n"
+
+
+@pytest.fixture(scope="module")
+def kb(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("kb")
+    init(str(root))
+    (root / "raw/go.md").write_text("Go is a compiled language.")
+    (root / "wiki/concepts/go.md").write_text(PAGE)
+    (root / "wiki/concepts/rust.md").write_text("---\ntitle: Rust\ntype: concept\nsources: []\ntimestamp: 2026-01-01\nrelated_to:\n  - 数字经济\n---\nRust compiles too.\n")
+    base = KnowledgeBase(spark, str(root), now=lambda: 1_800_000_000)
+    assert base.reindex() == 4 and base.reindex() == 0
+    return base
+
+
+def test_reading(kb):
+    s = kb.status()
+    assert s["documents"] == 4 and s["by_kind"]["concept"] == 2 and s["queue"]["pending"] == 1 and s["index_size"] > 0
+    found = kb.search("compiles")
+    assert {r["id"] for r in found["results"]} == {"wiki/concepts/go.md", "wiki/concepts/rust.md"} and found["results"][0]["pool"] == "synth"
+    assert kb.search(" ")["results"] == [] and kb.query_log().count() == 2
+    assert kb.page(["wiki/concepts/go.md"], full=True)[0]["content"] == PAGE
+    with pytest.raises(RequestError):
+        kb.page([])
+    assert kb.context("compiles")["raw_sources"][0]["id"] == "raw/go.md" and [f["path"] for f in kb.files()] == ["raw/go.md"]
+    assert (Path(kb.root) / "wiki/index.md").read_text().endswith("* [concepts](concepts/) — 2 page(s)\n")
+
+
+def test_lint_and_red_links(kb):
+    assert kb.lint() == []
+    warned = kb.lint(clean=True)
+    assert [(w["kind"], w["detail"]) for w in warned] == [("missing_concept", "数字经济")]
+    assert kb.red_links()[0]["count"] == 1 and kb.red_links(drop="数字经济") == [] and kb.table("links").where("relation = 'related_to'").count() == 0
+
+
+def test_writing(kb):
+    assert kb.add("new/note.md", "words", "http://x") == "raw/new/note.md" and kb.table("pages").where("id = 'raw/new/note.md'").first().content.startswith("<!-- source: http://x -->")
+    for bad in (lambda: kb.add("new/note.md", "again"), lambda: kb.add("../x", ""), lambda: kb.upload("", b"")):
+        with pytest.raises(RequestError):
+            bad()
+    assert kb.upload("/a/b/up.bin", b"1") == "raw/up.bin"
+
+
+def test_notes_and_pages(kb):
+    def llm(system, text):
+        if "JSON" in system:
+            return json.dumps([{"type": "concept", "title": "Zig", "slug": "zig", "description": "d", "sources": ["a", "b"]}, {"type": "concept", "title": "Y", "slug": "y", "description": "", "sources": ["a"]}])
+        return "---\ntitle: Note\ntype: source-note\n---\nSome note."
+
+    assert kb.distil(llm) == {"done": 2, "failed": 0} and (Path(kb.root) / "wiki/source-notes/go.md").exists()
+    assert kb.table("queue").count() == 0
+    assert kb.synthesize(llm) == 2 and kb.synthesize(llm) == 0
+    page = (Path(kb.root) / "wiki/concepts/zig.md").read_text()
+    assert "source_count: 2" in page and "sources:\n  - a\n  - b" in page and (Path(kb.root) / "wiki/concepts/_draft/y.md").exists()
+    assert kb.synthesize(llm, full=True) == 2 and not (Path(kb.root) / "wiki/concepts/_draft/y.md").exists() and (Path(kb.root) / "wiki/concepts/y.md").exists()
+    assert (Path(kb.root) / kb.gaps(lambda s, u: "report", "note")).read_text() == "report"
+
+
+def test_command_line(tmp_path):
+    assert main(["--root", str(tmp_path / "x"), "init"]) == 0 and (tmp_path / "x/wiki/decisions").is_dir()
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
