@@ -13,8 +13,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import context, graph, index, queue, search, synthesis, wiki
-from .sources import kb_files
+from .functions.notes import set_sources, unfenced
+from .functions.text import import_slug, source_count, with_source_count
+from .operators import context, graph, index, queue, records, search, synthesis, wiki
+from .session import materialise
+from .sources import connectors, kb_files
+from .streaming import watch
 
 FOLDERS = ("raw", "wiki/source-notes", "wiki/concepts", "wiki/comparisons", "wiki/decisions", "schema", "index", "models")
 SCHEMAS = {
@@ -218,34 +222,31 @@ class KnowledgeBase:
 
     def synthesize(self, llm: synthesis.Llm, topic: str = "", full: bool = False) -> int:
         """Plans pages from the notes of a topic if any of them changed, and has each written. Returns how many were."""
-        pages = self.table("pages")
-        notes = synthesis.with_hash(synthesis.topic_filter(synthesis.source_notes(pages), topic))
+        notes = synthesis.with_hash(synthesis.topic_filter(synthesis.source_notes(self.table("pages")), topic))
         if not full and synthesis.new_or_changed(notes, self.table("state")).isEmpty():
             return 0
-        titles = [r.title for r in kb_files.existing_titles(pages).orderBy("title").collect()]
+        return self.synthesize_notes(llm, notes, topic)
+
+    def synthesize_notes(self, llm: synthesis.Llm, notes: DataFrame, topic: str) -> int:
+        pages = self.table("pages")
+        titles = [r.title for r in kb_files.existing_titles(pages).orderBy("title").toLocalIterator()]
         answer = llm("Plan pages as a JSON list of type, title, slug, description, sources.", synthesis.plan_prompt(notes, titles, topic))
         plans = synthesis.viable(synthesis.plans_of(self.spark.createDataFrame([(answer,)], "answer string")))
-        from .functions.notes import set_sources, unfenced
-
+        have = pages.select("id", "content").unionByName(self.drafts())
         n = 0
-        have_pages = pages.select("id", "content").unionByName(self.drafts())
-        for p in synthesis.routed(plans, have_pages).orderBy("dest").toLocalIterator():
+        for p in synthesis.routed(plans, have).orderBy("dest").toLocalIterator():
             at = Path(self.root, p.dest)
             old = at.read_text() if at.exists() else ""
-            text = unfenced(llm(f"{p.step} a {p.type} page.", f"{p.title}\n{p.description}\n\n{old}"))
+            text = set_sources(unfenced(llm(f"{p.step} a {p.type} page.", f"{p.title}\n{p.description}\n\n{old}")), list(p.sources))
+            both = self.spark.createDataFrame([(old, text)], "old string, new string")
+            fresh = F.regexp_replace("new", r"(?m)^source_count:.*\n", "")
             at.parent.mkdir(parents=True, exist_ok=True)
-            counted = self.spark.createDataFrame([(old or "---\n---\n", text)], "old string, new string")
-            from .functions.text import source_count, with_source_count
-
-            have = counted.select(source_count(F.col("old"))).first()[0]
-            text = set_sources(text, list(p.sources))
-            text = self.spark.createDataFrame([(text,)], "t string").select(with_source_count(F.regexp_replace("t", r"(?m)^source_count:.*\n", ""), F.lit(have + len(p.sources)))).first()[0]
-            at.write_text(text)
+            at.write_text(both.select(with_source_count(fresh, source_count(F.col("old")) + len(p.sources))).first()[0])
             n += 1
-        self.reindex()
         for r in synthesis.graduates(self.drafts()).toLocalIterator():
             Path(self.root, r.id).rename(Path(self.root, r.dest))
         self._save(state=synthesis.recorded(self.table("state"), notes))
+        self.reindex()
         return n
 
     def drafts(self) -> DataFrame:
@@ -263,6 +264,90 @@ class KnowledgeBase:
         at.write_text(report)
         return path
 
+    def synthesize_each(self, llm: synthesis.Llm, wait: float = 30.0, pause: float = 0.5, sleep=time.sleep) -> int:
+        """Every note with its related notes, one after the other; a refusal for too many calls (429) waits and is tried once more."""
+        notes = synthesis.source_notes(self.table("pages"))
+        paths = [r.path for r in notes.select("path").orderBy("path").toLocalIterator()]
+        n = 0
+        for path in paths:
+            seed = self.spark.createDataFrame([(path,)], "path string")
+            near = notes.join(synthesis.tag_overlap(notes, seeds=seed).select("path"), "path", "left_semi")
+            for attempt in (1, 2):
+                try:
+                    n += self.synthesize_notes(llm, synthesis.with_hash(near), "")
+                    break
+                except Exception as e:  # noqa: BLE001 - each note is a best effort
+                    if "429" not in str(e) or attempt == 2:
+                        break
+                    sleep(wait)
+            sleep(pause)
+        return n
+
+    # from outside
+
+    def convert(self, convert) -> int:
+        """Raw files of convertible kinds into Markdown under raw/converted/; returns how many could be."""
+        waiting = kb_files.convertible(self._files()).select(F.concat(F.lit("raw/"), "path").alias("id"))
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{self.root}/raw")
+        files = found.select(kb_files.relative(self.root, F.col("path")).alias("id"), "content").join(waiting, "id", "left_semi")
+        n = 0
+        for r in connectors.converted(files, convert).where("ok").toLocalIterator():
+            at = Path(self.root, "raw/converted", r.path.removeprefix("raw/")).with_suffix(".md")
+            at.parent.mkdir(parents=True, exist_ok=True)
+            at.write_text(r.markdown)
+            n += 1
+        return n
+
+    def import_document(self, url: str, runner: str, name: str = "") -> dict:
+        """A document with the tables embedded in it: the text, a snapshot of each table, and one data set of their distinct records. `runner` is the import path
+        (module:name) of the callable that fetches. Everything is made in a folder of its own, then moved into raw/."""
+        import importlib
+
+        module, _, call = runner.partition(":")
+        got = connectors.fetch_document(getattr(importlib.import_module(module), call), url)
+        text, refs = got["content"], records.table_refs(got["content"])
+        title = name or records.document_title(text) or got["document_id"]
+        slug = self.spark.range(1).select(import_slug(F.lit(title))).first()[0] or "document"
+        stage = Path(self.root, "index/import", slug)
+        shutil.rmtree(stage, ignore_errors=True)
+        stage.mkdir(parents=True)
+        totals, tables = {"total": 0, "unique": 0, "removed": 0}, []
+        if refs:
+            tables = connectors.as_tables(materialise(connectors.read_records(self.spark, runner, refs), "imported"))
+            for table_id, df in tables:
+                columns = [c for c in df.columns if c != "row"]
+                n = self._write_lines(stage / f"{table_id}.tsv", columns, records.tsv_lines(records.union_tables([(table_id, df)]).orderBy("ordinal"), columns), f"Source URL: {url}\nTable ID: {table_id}\n\n")
+                text += "\n" + records.render_reference(f"{table_id}.tsv", table_id, columns, n)
+            all_ = materialise(records.union_tables(tables), "imported-rows")
+            column = lambda names: F.col(f"`{c}`") if (c := records.pick_column(all_.columns[:-2], names)) else F.lit("")
+            kept = records.deduplicate(records.record_keys(all_, column(records.URL_NAMES), column(records.NICKNAME_NAMES), column(records.TITLE_NAMES)))
+            columns = all_.columns[:-1]
+            rows = kept.join(all_, "ordinal").orderBy("position")
+            self._write_lines(stage / f"{slug}-records.txt", columns, records.tsv_lines(rows, columns), f"Source URL: {url}\n\n")
+            totals = records.import_totals(all_, kept).first().asDict()
+            text += records.render_summary(f"{slug}-records.txt", *totals.values())
+        (stage / f"{slug}.md").write_text(records.render_document(url, got["document_id"], got["revision_id"], text))
+        target = Path(self.root, "raw", slug)
+        shutil.rmtree(target, ignore_errors=True)
+        target.parent.mkdir(parents=True, exist_ok=True)
+        shutil.move(stage, target)
+        return {"document_path": f"raw/{slug}/{slug}.md", "table_paths": [f"raw/{slug}/{t}.tsv" for t, _ in tables], "total_rows": totals["total"], "unique_rows": totals["unique"], "duplicates_removed": totals["removed"]}
+
+    @staticmethod
+    def _write_lines(at: Path, columns: list[str], lines: DataFrame, head: str) -> int:
+        n = 0
+        with at.open("w") as f:
+            f.write(head + "\t".join(columns) + "\n")
+            for r in lines.toLocalIterator():
+                f.write(r.value + "\n")
+                n += 1
+        return n
+
+    def watch(self, continuous: str | None = None):
+        """Follows the files: each batch of changes is one incremental run. Without an interval it handles what there is and ends; its checkpoint picks up from there."""
+        changes = watch.changed_files(self.spark, f"file://{self.root}")
+        return watch.follow(changes.select("id"), lambda batch, _: self.reindex(), f"file://{self.root}/index/watch", continuous)
+
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lorekeep")

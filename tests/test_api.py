@@ -1,10 +1,13 @@
 import json
+import threading
+import urllib.request
 from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry
 from lorekeep.api import KnowledgeBase, RequestError, init, main
+from lorekeep.service import Service, Settings
 
 PAGE = "---\ntitle: Go\ntype: concept\nsources:\n  - raw/go.md\ntimestamp: 2026-01-01\n---\nGo compiles fast. [[Other]]\n"
 
@@ -71,3 +74,38 @@ def test_command_line(tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_import_convert_and_watch(kb, spark):
+    spark.sparkContext.addPyFile(str(Path(__file__).parent / "import_runner.py"))
+    got = kb.import_document("http://x/doc", "import_runner:runner")
+    assert got == {"document_path": "raw/a-b/a-b.md", "table_paths": ["raw/a-b/t1.tsv", "raw/a-b/t2.tsv"], "total_rows": 4, "unique_rows": 3, "duplicates_removed": 1}
+    lines = (Path(kb.root) / "raw/a-b/a-b-records.txt").read_text().splitlines()
+    assert lines[2] == "nickname\turl\ttitle\t来源表格" and len(lines) == 6 and "https://h/topic/100" in lines[3]
+    assert "- Unique records: 3" in (Path(kb.root) / got["document_path"]).read_text()
+    kb.upload("page.html", b"<p>hi</p>")
+    assert kb.convert(lambda name, data: data.decode()) == 1 and (Path(kb.root) / "raw/converted/page.md").read_text() == "<p>hi</p>"
+    kb.watch().awaitTermination()
+    assert kb.table("pages").where("id = 'raw/converted/page.md'").count() == 1
+
+
+def test_service(kb, tmp_path):
+    at = str(tmp_path / "settings")
+    Settings(api_key="k", port=0).save(at)
+    assert Path(at).stat().st_mode & 0o777 == 0o600
+    settings = Settings.load(at, {"LOREKEEP_WORKERS": "5"})
+    assert settings.workers == 5 and settings.shown()["api_key"] == "set"
+    service, key = Service(kb, settings, at), {"X-Api-Key": "k"}
+    assert service.handle("GET", "/api/status")[0] == 401
+    assert service.handle("GET", "/api/status", headers=key)[1]["documents"] > 3
+    assert service.handle("GET", "/api/search", {"q": "compiles", "limit": "4"}, headers=key)[1]["results"]
+    for bad in (("GET", "/api/search", {}), ("GET", "/api/page", {}), ("POST", "/api/add", {}), ("POST", "/api/import", {})):
+        assert service.handle(*bad, headers=key)[0] == 400
+    assert service.handle("GET", "/api/nothing", headers=key)[0] == 404 and service.handle("GET", "/api/red-links", headers=key) == (200, [])
+    assert service.handle("PUT", "/api/settings", body=b'{"workers": 7}', headers=key)[1]["workers"] == 7 and Settings.load(at, {}).workers == 7
+    assert service.handle("PUT", "/api/settings", body=b'{"nothing": 7}', headers=key)[0] == 400
+    server = service.serve()
+    threading.Thread(target=server.handle_request, daemon=True).start()
+    request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}/api/settings", headers=key)
+    assert json.loads(urllib.request.urlopen(request, timeout=20).read())["workers"] == 7
+    server.server_close()
