@@ -34,7 +34,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
 
     Every record with a set is a member of one class; members of a class have equal sets. Records need distinct keys.
     """
-    keyed = sets.select("record", "items", F.sha2(F.to_json("items"), 256).alias("class_id"))
+    keyed = sets.select("record", "items", F.unhex(F.md5(F.to_json("items"))).alias("class_id"))
     keyed = materialise(keyed, "sets")
     classes = keyed.groupBy("class_id").agg(F.first("items").alias("items"))
     tokens = classes.select("class_id", F.size("items").alias("n"), F.explode("items").alias("item"))
