@@ -130,8 +130,11 @@ class KnowledgeBase:
         return n
 
     def write_index_pages(self) -> None:
-        for r in wiki.index_pages(self.table("pages")).toLocalIterator():
-            Path(self.root, r.path).write_text(r.content)
+        begun: set[str] = set()
+        for path, text in wiki.index_texts(self.table("pages")):
+            with Path(self.root, path).open("a" if path in begun else "w") as f:
+                f.write(text)
+            begun.add(path)
 
     def add(self, name: str, content: str, url: str = "", overwrite: bool = False) -> str:
         try:
@@ -164,9 +167,12 @@ class KnowledgeBase:
             found = found.unionByName(wiki.link_warnings(broken))
         rows = [r.asDict() for r in found.orderBy("path", "kind", "detail").toLocalIterator()]
         if clean:
-            red = [{"concept": r.concept, "count": r.n, "referenced_by": list(r.referenced_by)} for r in wiki.red_links(broken).orderBy(F.desc("n"), "concept").toLocalIterator()]
             Path(self.root, "wiki/index").mkdir(parents=True, exist_ok=True)
-            self._red().write_text(json.dumps(red, ensure_ascii=False, indent=1))
+            with self._red().open("w") as f:
+                f.write("[")
+                for i, record in enumerate(wiki.red_link_records(broken)):
+                    f.write((",\n" if i else "\n") + json.dumps(record, ensure_ascii=False))
+                f.write("\n]\n")
             self._save(links=wiki.clean_links(links, self.table("pages")))
         if strict and rows:
             raise RequestError(f"{len(rows)} warnings")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,16 +30,18 @@ def index_entries(pages: DataFrame) -> DataFrame:
     return _listed(pages).select(F.regexp_replace("id", "/[^/]*$", "").alias("dir"), file.alias("file"), line.alias("line"))
 
 
-def index_pages(pages: DataFrame) -> DataFrame:
-    """path, content of the index page of every wiki folder; one folder's list is one file, so it is built in one row. The root lists its folders with their page counts."""
-    entries = index_entries(pages).groupBy("dir").agg(F.sort_array(F.collect_list(F.struct("file", "line"))).alias("x"))
-    body = F.array_join(F.transform("x", lambda e: e["line"]), "\n")
-    own = entries.select(F.concat("dir", F.lit("/index.md")).alias("path"), F.concat(F.lit("# "), tx.file_name(F.col("dir")), F.lit("\n\n"), body, F.lit("\n")).alias("content"))
-    root = folder_counts(pages).agg(F.sort_array(F.collect_list(F.struct("folder", "n_pages"))).alias("x"))
-    line = lambda e: F.concat(F.lit("* ["), e["folder"], F.lit("]("), e["folder"], F.lit("/) — "), e["n_pages"], F.lit(" page(s)\n"))
-    head = F.lit('---\nokf_version: "0.1"\n---\n\n# wiki\n\n')
-    top = root.select(F.lit("wiki/index.md").alias("path"), F.concat(head, F.array_join(F.transform("x", line), "")).alias("content"))
-    return own.where("path <> 'wiki/index.md'").unionByName(top)
+def index_texts(pages: DataFrame) -> Iterator[tuple[str, str]]:
+    """(path, text) in pieces, in order, of the index page of every wiki folder: a head, then a line at a time, so no folder's list is ever held. The root lists its folders with their page counts."""
+    now = None
+    for r in index_entries(pages).where("dir <> 'wiki'").orderBy("dir", "file").toLocalIterator():
+        path = f"{r.dir}/index.md"
+        if path != now:
+            now = path
+            yield path, f"# {r.dir.rsplit('/', 1)[-1]}\n\n"
+        yield path, r.line + "\n"
+    yield "wiki/index.md", '---\nokf_version: "0.1"\n---\n\n# wiki\n\n'
+    for r in folder_counts(pages).orderBy("folder").toLocalIterator():
+        yield "wiki/index.md", f"* [{r.folder}]({r.folder}/) — {r.n_pages} page(s)\n"
 
 
 def folder_counts(pages: DataFrame) -> DataFrame:
@@ -94,15 +98,29 @@ def link_warnings(broken: DataFrame) -> DataFrame:
 
 
 def red_links(broken: DataFrame) -> DataFrame:
-    """concept, n, referenced_by: missing concepts with the pages that name them, repeats kept, in order.
-
-    A concept named by very many pages gathers them in one row, as its consumer (one JSON record) needs; red_link_counts has the numbers alone."""
-    concepts = broken.where("link_type = 'concept'")
-    return concepts.groupBy(F.col("target_doc_id").alias("concept")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("source_doc_id")).alias("referenced_by"))
+    """concept, n: missing concepts and how often pages name them."""
+    return broken.where("link_type = 'concept'").groupBy(F.col("target_doc_id").alias("concept")).agg(F.count("*").alias("n"))
 
 
-def red_link_counts(broken: DataFrame) -> DataFrame:
-    return broken.where("link_type = 'concept'").groupBy(F.col("target_doc_id").alias("concept")).agg(F.count("*").alias("n"))
+def red_link_references(broken: DataFrame) -> DataFrame:
+    """concept, referenced_by, n: the pages that name each missing concept, a row for each, so that a concept of very many pages gathers them nowhere."""
+    concepts = broken.where("link_type = 'concept'")
+    return concepts.groupBy(F.col("target_doc_id").alias("concept"), F.col("source_doc_id").alias("referenced_by")).agg(F.count("*").alias("n"))
+
+
+def red_link_records(broken: DataFrame) -> Iterator[dict]:
+    """concept, count, referenced_by (repeats kept, in order) of each missing concept, the most named first; one record at a time."""
+    total = red_links(broken).withColumnRenamed("n", "total")
+    rows = red_link_references(broken).join(total, "concept").orderBy(F.desc("total"), "concept", "referenced_by")
+    record: dict | None = None
+    for r in rows.toLocalIterator():
+        if record is None or record["concept"] != r.concept:
+            if record:
+                yield record
+            record = {"concept": r.concept, "count": r.total, "referenced_by": []}
+        record["referenced_by"] += [r.referenced_by] * r.n
+    if record:
+        yield record
 
 
 def clean_links(links: DataFrame, pages: DataFrame) -> DataFrame:

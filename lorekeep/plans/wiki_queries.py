@@ -111,8 +111,11 @@ def link_warnings(spark, sf_dir):
 
 
 def red_links(spark, sf_dir):
-    found = wiki.red_links(_broken(spark, sf_dir))
-    return found.select("concept", "n", F.array_join("referenced_by", "|").alias("referenced_by"))
+    return wiki.red_links(_broken(spark, sf_dir))
+
+
+def red_link_references(spark, sf_dir):
+    return wiki.red_link_references(_broken(spark, sf_dir))
 
 
 def clean_links(spark, sf_dir):
@@ -219,7 +222,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         frontmatter_fields, page_links, wikilinks, entity_tags, content_hash, hash_gated_upsert, stale_purge, undistilled, orphan_stems, existing_titles, index_entries,
-        index_folder_counts, page_fetch_truncated, missing_fields, broken_sources, broken_links_classified, broken_link_counts, link_warnings, red_links, clean_links,
+        index_folder_counts, page_fetch_truncated, missing_fields, broken_sources, broken_links_classified, broken_link_counts, link_warnings, red_links, red_link_references, clean_links,
         layer_counts, kind_counts_zero_filled, queue_stats, queue_enqueue, queue_next_pending, queue_mark_failed, queue_mark_done, queue_recover_stale, queue_available_at,
         scalar_functions, technical_catalogue,
     )
@@ -266,7 +269,8 @@ WHERE {_LISTED.replace("(id,", "(p.id,")} AND NOT contains(p.id, '/_draft/') AND
     "broken_links_classified": _BROKEN + "SELECT id, link_type FROM broken",
     "broken_link_counts": _BROKEN + "SELECT relation, link_type, count(*) AS n FROM broken GROUP BY ALL",
     "link_warnings": _BROKEN + "SELECT source_doc_id AS path, CASE link_type WHEN 'path' THEN 'broken_related' ELSE 'missing_concept' END AS kind, target_doc_id AS detail, count(*) AS n FROM broken WHERE link_type <> 'placeholder' GROUP BY ALL",
-    "red_links": _BROKEN + "SELECT target_doc_id AS concept, count(*) AS n, string_agg(source_doc_id, '|' ORDER BY source_doc_id) AS referenced_by FROM broken WHERE link_type = 'concept' GROUP BY 1",
+    "red_links": _BROKEN + "SELECT target_doc_id AS concept, count(*) AS n FROM broken WHERE link_type = 'concept' GROUP BY 1",
+    "red_link_references": _BROKEN + "SELECT target_doc_id AS concept, source_doc_id AS referenced_by, count(*) AS n FROM broken WHERE link_type = 'concept' GROUP BY ALL",
     "clean_links": "SELECT id FROM links WHERE relation IS NULL OR relation NOT IN ('related_to', 'supports', 'contradicts') OR target_doc_id IN (SELECT id FROM kb_documents)",
     "layer_counts": "SELECT layer, count(*) AS n FROM kb_documents GROUP BY ROLLUP (layer)",
     "kind_counts_zero_filled": """SELECT kind, sum(n)::BIGINT AS n FROM (SELECT coalesce(kind, 'source-note') AS kind, 1 AS n FROM kb_documents WHERE layer = 'wiki'

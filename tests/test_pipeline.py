@@ -87,10 +87,13 @@ def test_wiki_checks(spark):
     links = spark.createDataFrame([("p", "[]  # related wiki pages", "related_to"), ("p", "wiki/concepts/missing.md", "supports"), ("p", "数字经济", "related_to"), ("q", "数字经济", "supports"), ("p", "wiki/a.md", "supports"), ("p", "gone", "cites"), ("p", "gone", None)], "source_doc_id string, target_doc_id string, relation string")
     broken = wiki.broken_links(links, pages)
     assert Counter(r.link_type for r in broken.collect()) == {"placeholder": 1, "path": 1, "concept": 2}
-    assert [(r.concept, r.n, list(r.referenced_by)) for r in wiki.red_links(broken).collect()] == [("数字经济", 2, ["p", "q"])]
+    assert list(wiki.red_link_records(broken)) == [{"concept": "数字经济", "count": 2, "referenced_by": ["p", "q"]}]
+    assert list(wiki.red_link_records(broken.limit(0))) == []
     assert Counter(r.kind for r in wiki.link_warnings(broken).collect()) == {"broken_related": 1, "missing_concept": 2}
     assert wiki.clean_links(links, pages).count() == 3
-    made = {r.path: r.content for r in wiki.index_pages(pages).collect()}
+    made: dict[str, str] = {}
+    for path, text in wiki.index_texts(pages):
+        made[path] = made.get(path, "") + text
     assert made["wiki/index.md"].endswith("# wiki\n\n* [concepts](concepts/) — 3 page(s)\n") and "* [T](c.md)" in made["wiki/concepts/index.md"]
     assert {r.kind: r.n for r in wiki.kind_counts(pages).collect()}["decision"] == 0
     status = wiki.status(pages, q(spark)).first()
