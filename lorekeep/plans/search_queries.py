@@ -158,7 +158,7 @@ SQL = {
     "fts_three_phase": _BASE + _phases("p", "true", LIMIT)
     + "SELECT id, path, layer, kind, title, description, snippet, wiki_priority, authority, round(fts_rank, 9) AS fts_rank, match_phase, coverage, position FROM p",
     "rrf_multi_kind": _BASE + _fused(LIMIT) + "SELECT id, kind, title, round(rrf, 9) AS rrf, lists, position FROM fused",
-    "rrf_strict_layer": _BASE + _phases("p", "layer = 'raw'", LIMIT * 3) + f"SELECT id, layer, round(1.0 / (60 + position), 9)::DOUBLE AS rrf, 1 AS lists, position FROM p WHERE position <= {LIMIT}",
+    "rrf_strict_layer": _BASE + _phases("p", "layer = 'raw'", LIMIT * 3) + f"SELECT id, layer, round(1.0 / (60 + position), 9)::DOUBLE AS rrf, 1::BIGINT AS lists, position FROM p WHERE position <= {LIMIT}",
     "search_one_kind": _BASE + _phases("p", "layer = 'wiki' AND kind = 'concept'", LIMIT) + "SELECT id, kind, match_phase, coverage, position FROM p",
     "hybrid_rank": _BASE + _phases("p", "true", LIMIT)
     + f""", boost AS (SELECT target_doc_id AS id, least(count(*) / 10.0::DOUBLE, 1.0::DOUBLE) AS graph_boost FROM links GROUP BY 1)

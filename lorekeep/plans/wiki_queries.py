@@ -83,7 +83,7 @@ def index_folder_counts(spark, sf_dir):
 def page_fetch_truncated(spark, sf_dir):
     """Every page as a fetch of several pages shows it: its size after the cut."""
     pages = _pages(spark, sf_dir)
-    return pages.select("id", F.octet_length(tx.truncated(F.col("content"))).alias("n_bytes"), (F.octet_length("content") > 5000).alias("truncated"))
+    return pages.select("id", F.octet_length(tx.truncated(F.col("content"))).cast("bigint").alias("n_bytes"), (F.octet_length("content") > 5000).alias("truncated"))
 
 
 def missing_fields(spark, sf_dir):
