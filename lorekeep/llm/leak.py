@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import materialise, small, spread
 from .automaton import SuffixAutomaton
 from .words import WORD
 
@@ -204,6 +204,7 @@ def decontaminated(docs: DataFrame, key: str, text: str, leaks: DataFrame, max_s
     """
     long = leaks.where((F.col("n_words") >= max_span) | (F.col("n_words") < MIN_WORDS))
     spans = merged(long, "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = small(materialise(spans, "leak-spans"), 400)
     hit = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(spans, "doc_id")
     # what is kept lies between the end of one span and the start of the next
     start = F.concat(F.array(F.lit(0).cast("bigint")), F.col("spans.end"))
