@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import notes as nt
 from ..functions import text as tx
-from ..operators import context, evaluate, records, synthesis
+from ..operators import context, evaluate, records, search, synthesis
 from ..operators.search import is_synthesized
-from ..session import table
+from ..session import materialise, table
 from ..streaming.watch import debounced
+from . import search_queries
 from .search_queries import QUERY
 
-TOPIC, STAMP, GAP_S = "pipeline", "2026-01-01T00:00:00Z", 180
+TOPIC, STAMP, GAP_S, RESULTS = "pipeline", "2026-01-01T00:00:00Z", 180, 50
 
 
 def _pages(spark, sf_dir):
@@ -121,8 +122,10 @@ def eval_comparison(spark, sf_dir):
 
 
 def alike_descriptions(spark, sf_dir):
+    """Pairs of the results of a search whose descriptions are more than 20 % alike."""
     pages = _pages(spark, sf_dir)
-    out = context.alike_descriptions(pages, pages.where("kind = 'decision'").select("id"), 0.2)
+    seeds = materialise(search.search(pages, QUERY, limit=RESULTS).select("id"), "results")
+    out = context.alike_descriptions(pages, seeds, 0.2)
     return out.select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
@@ -201,10 +204,11 @@ SELECT id, tag, count(*) AS n FROM m WHERE length(tag) BETWEEN 2 AND 20 AND tag
     "naive_keyword_score": _retrieved("WHERE layer = 'raw'") + "SELECT item_id, id, score, place FROM retrieved",
     "eval_hit_mrr": _retrieved("") + _HITS,
     "eval_means": _retrieved("") + f", s AS ({_HITS}) SELECT suite, round(avg(hit), 9) AS hit, round(avg(rr), 9) AS rr FROM s JOIN eval_items USING (item_id) GROUP BY suite",
-    "alike_descriptions": r"""
-WITH d AS (SELECT id, list_distinct([w for w in regexp_split_to_array(lower(description), '\s+') if length(w) >= 2]) AS w FROM kb_documents WHERE kind = 'decision' AND coalesce(description, '') <> ''),
-p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS k, len(a.w) + len(b.w) AS n FROM d a JOIN d b ON a.id < b.id)
-SELECT a, b, round(k / (n - k), 9) AS similarity FROM p WHERE k / (n - k) > 0.2""",
+    "alike_descriptions": search_queries.BASE
+    + search_queries.phases_sql("p", "true", RESULTS)
+    + r""", d AS (SELECT id, list_distinct([w for w in regexp_split_to_array(lower(description), '\s+') if length(w) >= 2]) AS w FROM p WHERE description <> ''),
+q AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS k, len(a.w) + len(b.w) AS n FROM d a JOIN d b ON a.id < b.id)
+SELECT a, b, round(k / (n - k), 9) AS similarity FROM q WHERE k / (n - k) > 0.2""",
     "debounce_sessions": f"""
 WITH o AS (SELECT event_type, epoch_us(ts) AS t, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts) >= {GAP_S} * 1000000, true) AS opens FROM events),
 g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY event_type ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM o)

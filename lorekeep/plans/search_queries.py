@@ -94,7 +94,7 @@ def search_expand(spark, sf_dir):
 
 _LONG, _SHORT = ("pipeline", "incident"), ("模板", "db")
 _COUNT = " + ".join("(length(l_{c}) - length(replace(l_{c}, '{{k}}', ''))) // {{n}}".format(c=c) for c in search.INDEXED)
-_BASE = f"""
+BASE = f"""
 WITH low AS (SELECT *, {", ".join(f"lower(coalesce({c}, '')) AS l_{c}" for c in search.INDEXED)} FROM kb_documents),
 n AS (SELECT *, {" + ".join(f"greatest(length(l_{c}) - 2, 0)" for c in search.INDEXED)} AS d,
   {", ".join(f"{_COUNT.format(k=k, n=len(k))} AS f{i}" for i, k in enumerate(_LONG))},
@@ -112,7 +112,7 @@ hits AS (SELECT id, path, layer, coalesce(kind, '') AS kind, coalesce(title, '')
 """
 
 
-def _phases(name: str, where: str, limit: int) -> str:
+def phases_sql(name: str, where: str, limit: int) -> str:
     """SQL of the three phases over the filtered hits, as CTEs that end in `name`."""
     top = f"ORDER BY wiki_priority DESC, fts_rank, id LIMIT {limit * 4}"
     base = f"SELECT *, rank AS fts_rank, snippet AS shown FROM hits WHERE {where}"
@@ -131,7 +131,7 @@ def _fused(limit: int, layer: str | None = None) -> str:
     lists = [("l0", "layer = 'wiki' AND kind = 'source-note'", limit * 10), *((f"l{i}", f"layer = 'wiki' AND kind = '{k}'", limit * 3) for i, k in enumerate(("concept", "comparison", "decision"), 1))]
     lists.append(("l4", f"layer = '{layer}'" if layer else "true", limit * 3))
     both = " UNION ALL ".join(f"SELECT {i} AS list, * FROM {n}" for i, (n, _, _) in enumerate(lists))
-    return "".join(_phases(*x) for x in lists) + f""", lists AS ({both}),
+    return "".join(phases_sql(*x) for x in lists) + f""", lists AS ({both}),
 scores AS (SELECT id, sum(1.0 / (60 + position)) AS rrf, count(*) AS lists FROM lists GROUP BY id),
 attributes AS (SELECT * FROM lists QUALIFY row_number() OVER (PARTITION BY id ORDER BY list) = 1),
 fused AS (SELECT a.* EXCLUDE (position, list), rrf, s.lists, row_number() OVER (ORDER BY rrf DESC, s.id)::INT AS position FROM scores s JOIN attributes a ON s.id = a.id QUALIFY row_number() OVER (ORDER BY rrf DESC, s.id) <= {limit}),
@@ -142,7 +142,7 @@ boost AS (SELECT target_doc_id AS id, least(count(*) / 10.0::DOUBLE, 1.0::DOUBLE
 _SYNTH = "kind IN ('concept', 'comparison', 'decision', 'wiki-concept', 'wiki-comparison', 'wiki-decision')"
 _SCORE = f"""1.0 / (60 + position) * CASE WHEN {_SYNTH} THEN 1.3 ELSE 1 END + CASE WHEN authority > 0 THEN (authority - 3) * 0.005 ELSE 0 END + coalesce(graph_boost, 0) * 0.01"""
 _AGE = f""" + CASE WHEN doc_timestamp > 0 THEN 0.012 * exp(-(CASE WHEN {_SYNTH} THEN 0.00063 ELSE 0.00126 END) * ({AS_OF} - doc_timestamp) / 86400.0) ELSE 0 END"""
-_LAYERED = _BASE + _fused((SOURCES + SYNTHS) * 4) + f""", scored AS (SELECT f.*, coalesce(graph_boost, 0) AS graph_boost, {_SCORE} {_AGE} AS score, CASE WHEN {_SYNTH} THEN 'synth' ELSE 'note' END AS pool
+_LAYERED = BASE + _fused((SOURCES + SYNTHS) * 4) + f""", scored AS (SELECT f.*, coalesce(graph_boost, 0) AS graph_boost, {_SCORE} {_AGE} AS score, CASE WHEN {_SYNTH} THEN 'synth' ELSE 'note' END AS pool
   FROM fused f LEFT JOIN boost b ON f.id = b.id),
 layered AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY score DESC, id)::INT AS place FROM scored QUALIFY place <= CASE WHEN pool = 'synth' THEN {SYNTHS} ELSE {SOURCES} END)
 """
@@ -152,15 +152,15 @@ QUERIES = {
     for f in (fts_and, fts_or, like_short, fts_three_phase, rrf_multi_kind, rrf_strict_layer, search_one_kind, hybrid_rank, layered_search, layered_search_related, search_expand)
 }
 SQL = {
-    "fts_and": _BASE + "SELECT id, round(rank, 9) AS fts_rank FROM hits WHERE long_hits = 2",
-    "fts_or": _BASE + "SELECT id, long_hits, snippet, round(rank, 9) AS fts_rank FROM hits WHERE long_hits > 0",
-    "like_short": _BASE + 'SELECT id, s0 AS "first", s1 AS "second" FROM hits WHERE s0 OR s1',
-    "fts_three_phase": _BASE + _phases("p", "true", LIMIT)
+    "fts_and": BASE + "SELECT id, round(rank, 9) AS fts_rank FROM hits WHERE long_hits = 2",
+    "fts_or": BASE + "SELECT id, long_hits, snippet, round(rank, 9) AS fts_rank FROM hits WHERE long_hits > 0",
+    "like_short": BASE + 'SELECT id, s0 AS "first", s1 AS "second" FROM hits WHERE s0 OR s1',
+    "fts_three_phase": BASE + phases_sql("p", "true", LIMIT)
     + "SELECT id, path, layer, kind, title, description, snippet, wiki_priority, authority, round(fts_rank, 9) AS fts_rank, match_phase, coverage, position FROM p",
-    "rrf_multi_kind": _BASE + _fused(LIMIT) + "SELECT id, kind, title, round(rrf, 9) AS rrf, lists, position FROM fused",
-    "rrf_strict_layer": _BASE + _phases("p", "layer = 'raw'", LIMIT * 3) + f"SELECT id, layer, round(1.0 / (60 + position), 9)::DOUBLE AS rrf, 1::BIGINT AS lists, position FROM p WHERE position <= {LIMIT}",
-    "search_one_kind": _BASE + _phases("p", "layer = 'wiki' AND kind = 'concept'", LIMIT) + "SELECT id, kind, match_phase, coverage, position FROM p",
-    "hybrid_rank": _BASE + _phases("p", "true", LIMIT)
+    "rrf_multi_kind": BASE + _fused(LIMIT) + "SELECT id, kind, title, round(rrf, 9) AS rrf, lists, position FROM fused",
+    "rrf_strict_layer": BASE + phases_sql("p", "layer = 'raw'", LIMIT * 3) + f"SELECT id, layer, round(1.0 / (60 + position), 9)::DOUBLE AS rrf, 1::BIGINT AS lists, position FROM p WHERE position <= {LIMIT}",
+    "search_one_kind": BASE + phases_sql("p", "layer = 'wiki' AND kind = 'concept'", LIMIT) + "SELECT id, kind, match_phase, coverage, position FROM p",
+    "hybrid_rank": BASE + phases_sql("p", "true", LIMIT)
     + f""", boost AS (SELECT target_doc_id AS id, least(count(*) / 10.0::DOUBLE, 1.0::DOUBLE) AS graph_boost FROM links GROUP BY 1)
 SELECT p.id, kind, coalesce(graph_boost, 0) AS graph_boost, round({_SCORE}, 9) AS score FROM p LEFT JOIN boost b ON p.id = b.id""",
     "layered_search": _LAYERED + "SELECT id, kind, title, authority, graph_boost, round(rrf, 9) AS rrf, round(score, 9) AS score, pool, place FROM layered",
