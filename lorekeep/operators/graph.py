@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 OUTBOUND = ("cites", "supports", "wikilink", "related_to")
 INBOUND = ("supports", "wikilink")
 CONFLICTING = ("contradicts", "supersedes")
@@ -66,12 +68,13 @@ def connecting_tags(tags: DataFrame, n_pages: int) -> DataFrame:
 
 def tag_expand(seeds: DataFrame, tags: DataFrame, pages: DataFrame, hops: int, limit: int) -> DataFrame:
     """The pages within one or two hops over shared connecting tags, without the seeds; the first `limit` by title, then id."""
-    rare = connecting_tags(tags, pages.count())
+    rare = materialise(connecting_tags(tags, pages.count()), "connecting-tags")
     start = seeds.select(F.col("id").alias("doc_id")).distinct()
     found = frontier = start
     for _ in range(hops):
         over = rare.join(frontier, "doc_id", "left_semi").select("tag").distinct()
         frontier = rare.join(over, "tag", "left_semi").select("doc_id").distinct().join(found, "doc_id", "left_anti")
+        frontier = materialise(frontier, "hop")
         found = found.unionByName(frontier)
     ids = found.join(start, "doc_id", "left_anti").select(F.col("doc_id").alias("id"))
     return pages.select(*_page()).join(ids, "id", "left_semi").orderBy("title", "id").limit(limit)

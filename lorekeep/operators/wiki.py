@@ -78,7 +78,7 @@ def missing_fields(parsed: DataFrame) -> DataFrame:
 
 def broken_sources(parsed: DataFrame, ids: DataFrame) -> DataFrame:
     """path, kind, detail: sources of wiki pages that are no file (ids: all files, of any kind)."""
-    named = _listed(parsed).where(~F.contains("id", F.lit("/_draft/"))).select(F.col("id").alias("path"), F.explode("header.sources").alias("detail"))
+    named = _listed(parsed).where(~F.contains("id", F.lit("/_draft/"))).select(F.col("id").alias("path"), F.explode_outer("header.sources").alias("detail"))  # outer: no filter is inferred that would parse twice
     named = named.withColumn("detail", tx.trim_any(F.col("detail"))).where("detail <> ''")
     lost = named.join(ids.select(F.col("id").alias("detail")), "detail", "left_anti")
     return lost.select("path", F.lit("broken_source").alias("kind"), "detail")

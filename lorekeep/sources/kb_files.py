@@ -77,9 +77,9 @@ def orphan_stems(ids: DataFrame) -> DataFrame:
 
     raw = ids.where(F.col("id").startswith("raw/") & ~F.col("id").startswith("raw/converted/")).select(stem(F.col("id")).alias("stem")).distinct()
     made = ids.where(F.regexp_like("id", F.lit(r"^(wiki/source-notes|raw/converted)/.*\.md$")) & ~file_name(F.col("id")).isin(*RESERVED))
-    some = raw.limit(1).select(F.lit(1).alias("one"))
-    lost = made.select("id", stem(F.col("id")).alias("stem"), F.lit(1).alias("one")).join(raw, "stem", "left_anti")
-    return lost.join(F.broadcast(some), "one", "left_semi").select("id")
+    if raw.isEmpty():
+        return made.select("id").limit(0)
+    return made.select("id", stem(F.col("id")).alias("stem")).join(raw, "stem", "left_anti").select("id")
 
 
 def existing_titles(pages: DataFrame) -> DataFrame:
