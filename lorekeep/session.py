@@ -44,7 +44,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes `df` as a table in the shared folder and reads it back: later stages neither recompute it
     nor depend on the executors that made it."""
-    spark, at = df.sparkSession, None
+    spark = df.sparkSession
     at = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
@@ -54,10 +54,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """For stages that spend much time per row: an input in fewer files than there are cores, and too
     small to be split by bytes, is hash-partitioned over the cores. Large inputs stay as the scan splits them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if size > cores * (128 << 20) else df.repartition(cores, *keys)
+    if size > cores * (128 << 20) or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, *keys)
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
