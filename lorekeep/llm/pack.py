@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-CAPACITY, OPEN_BINS = 8192, 64
+CAPACITY, OPEN_BINS = 8192, 1024
+#: Leftover windows that one task packs again, as a multiple of the open windows.
+MERGE = 16
 #: Windows with less room than this are closed at once (cut pieces end up to three bytes early, at a character).
 _FULL = 4
 
@@ -127,9 +129,9 @@ def pack(docs: DataFrame, key: str, text: str, capacity: int = CAPACITY, open_bi
         if not n:
             break
         level += 1
-        parts = -(-n // (open_bins * open_bins))
+        parts = -(-n // (open_bins * MERGE))
         items = left.select(F.inline("items")).select("id", "tokens", "piece", "start", F.lit(None).cast("string").alias("text"))
-        # one partition to end with; before that, fewer by a factor of open_bins each time
+        # one partition of at most MERGE * open_bins windows to end with; before that, fewer by a factor of MERGE each time
         items = items.repartition(parts, F.xxhash64("id", "piece", "start")).sortWithinPartitions(F.desc("tokens"), "id", "piece")
         again = items.mapInArrow(_pack(capacity, open_bins if parts > 1 else 1 << 30, level), out)
         packed = materialise(again if parts > 1 else again.withColumn("open", F.lit(False)), f"packed-{level}")
