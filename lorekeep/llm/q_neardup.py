@@ -34,9 +34,16 @@ _PAIRS = r"""
 WITH w AS (SELECT id, regexp_extract_all(regexp_replace(lower(content), '([\x{4E00}-\x{9FFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS ws FROM kb_documents),
 g AS (SELECT DISTINCT id, s FROM (SELECT id, unnest([ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] for i in range(1, len(ws) - 1)]) AS s FROM w WHERE len(ws) >= 3)),
 n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
-o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
-SELECT id_a, id_b FROM o JOIN n na ON na.id = id_a JOIN n nb ON nb.id = id_b WHERE 10 * k >= 6 * (na.n + nb.n - k)
+o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2),
+pairs AS (SELECT id_a, id_b FROM o JOIN n na ON na.id = id_a JOIN n nb ON nb.id = id_b WHERE 10 * k >= 6 * (na.n + nb.n - k))
 """
 
 QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
-SQL = {"p4_found": _PAIRS}
+SQL = {
+    "p4_found": _PAIRS + "SELECT id_a, id_b FROM pairs",
+    "p4_groups": _PAIRS.replace("WITH w AS", "WITH RECURSIVE w AS")
+    + """, e AS (SELECT id_a AS x, id_b AS y FROM pairs UNION SELECT id_b, id_a FROM pairs),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+l AS (SELECT x AS id, min(y) AS group_id FROM r GROUP BY x)
+SELECT id, group_id, count(*) OVER (PARTITION BY group_id) AS n_pages FROM l""",
+}

@@ -22,5 +22,18 @@ def p8_coverage(spark, sf_dir):
     return coverage(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+_SHARED = """
+WITH w AS (SELECT doc_id, i, md5(substr(text, i, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id))
+"""
+
 QUERIES = {"p8_found": p8_found, "p8_coverage": p8_coverage}
-SQL: dict[str, str] = {}  # every window of every text is too slow in SQL on whole tables; tests compare with brute force
+SQL = {
+    "p8_found": _SHARED
+    + """, m AS (SELECT DISTINCT doc_id, h FROM w JOIN s USING (h))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p8_coverage": _SHARED
+    + """, m AS (SELECT doc_id, least(coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 400), 400) AS n FROM w JOIN s USING (h)),
+c AS (SELECT doc_id, sum(n)::BIGINT AS n_shared FROM m GROUP BY doc_id)
+SELECT doc_id, length(text)::INT AS n_chars, n_shared, count(*) OVER (PARTITION BY md5(text)) AS copies FROM c JOIN documents USING (doc_id)""",
+}
