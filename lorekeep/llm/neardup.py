@@ -55,6 +55,11 @@ def pack(m: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(_WORDS, _PER_WORD) << shifts, axis=1)
 
 
+def _lists(rows: list[np.ndarray], width: int) -> pa.Array:
+    flat = pa.array(np.concatenate(rows).view(np.int64))
+    return pa.FixedSizeListArray.from_arrays(flat, width).cast(pa.list_(pa.int64()))
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, (xors, odds) = WordHashes(), _seeds()
     weights = mix(np.arange(11, 11 + ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -71,14 +76,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(_class_key(h))
             bands.append(mix((m.reshape(BANDS, ROWS).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) ^ salt))
             sigs.append(pack(m))
-        def rows(x, width):
-            return pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(x).view(np.int64)), width).cast(pa.list_(pa.int64()))
-
         if ids:
-            yield pa.record_batch(
-                [pa.array(ids, b.column(0).type), pa.array(n, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)), rows(bands, BANDS), rows(sigs, _WORDS)],
-                ["id", "n", "k", "bands", "sig"],
-            )
+            k = pa.array(np.array(keys, np.uint64).view(np.int64))
+            columns = [pa.array(ids, b.column(0).type), pa.array(n, pa.int32()), k, _lists(bands, BANDS), _lists(sigs, _WORDS)]
+            yield pa.record_batch(columns, ["id", "n", "k", "bands", "sig"])
 
 
 def _class_key(h: np.ndarray) -> np.uint64:
