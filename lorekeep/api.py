@@ -202,10 +202,10 @@ class KnowledgeBase:
     # notes and synthesis
 
     def distil(self, llm: synthesis.Llm, system: str = "", n: int = 100) -> dict[str, int]:
-        """The next n files of the queue into notes; failures go back to the queue."""
+        """The next n files of the queue that may be tried into notes; failures go back to the queue and wait longer each time."""
         now = int(self.now())
         stamp = f"{datetime.fromtimestamp(now, UTC):%Y-%m-%dT%H:%M:%SZ}"
-        taken = queue.next_pending(self.table("queue"), n).select("path")
+        taken = queue.ready(self.table("queue"), now, n).select("path")
         self._save(queue=queue.start(self.table("queue"), taken, now))
         taken = self.table("queue").where(f"status = 'processing' AND updated_at = {now}").select("path")
         raw = self.table("pages").join(taken.select(F.concat(F.lit("raw/"), "path").alias("id")), "id", "left_semi")

@@ -60,6 +60,12 @@ def available_at(queue: DataFrame) -> DataFrame:
     return queue.where("status = 'pending'").select("path", "retry_count", (F.col("updated_at") + wait.cast("bigint")).alias("available_at"))
 
 
+def ready(queue: DataFrame, as_of: int, n: int) -> DataFrame:
+    """The n pending rows queued longest whose wait after their last failure is over."""
+    now = available_at(queue).where(F.col("available_at") <= as_of).select("path")
+    return next_pending(queue.join(now, "path", "left_semi").select(COLUMNS), n)
+
+
 def stats(queue: DataFrame, known: tuple[str, ...] = ("pending", "processing", "failed")) -> DataFrame:
     """status, n with the known states that don't occur."""
     from .wiki import zero_filled

@@ -32,6 +32,7 @@ def test_queue(spark):
     assert {r.path: r.status for r in queue.recover_stale(rows, NOW).collect()}["c"] == "pending"
     assert {r.path for r in queue.done(rows, errors).collect()} == {"a", "d"}
     assert {r.path: r.available_at for r in queue.available_at(rows).collect()} == {"a": 5, "b": 4 + 40}
+    assert [r.path for r in queue.ready(rows, 43, 9).collect()] == ["a"] and [r.path for r in queue.ready(rows, 44, 9).collect()] == ["b", "a"]
     assert {r.status: r.n for r in queue.stats(rows).collect()} == {"pending": 2, "processing": 1, "failed": 1}
     assert {r.status: r.n for r in queue.stats(q(spark)).collect()} == {"pending": 0, "processing": 0, "failed": 0}
 
