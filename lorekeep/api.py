@@ -355,11 +355,20 @@ class KnowledgeBase:
         return watch.follow(changes.select("id"), lambda batch, _: self.reindex(), f"file://{self.root}/index/watch", continuous)
 
 
+def _imported(path: str):
+    """What `module:name` names."""
+    import importlib
+
+    module, _, name = path.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lorekeep")
     parser.add_argument("--root", default=".")
+    parser.add_argument("--settings", default="", help="file of the model's address, token and name, and of the server's")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name in ("status", "files"):
+    for name in ("status", "files", "serve", "stdio", "watch"):
         sub.add_parser(name)
     for name in ("search", "context"):
         p = sub.add_parser(name)
@@ -368,16 +377,43 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("index").add_argument("--full", action="store_true")
     sub.add_parser("lint").add_argument("--strict", action="store_true")
     sub.add_parser("init").add_argument("--force", action="store_true")
+    p = sub.add_parser("import")
+    p.add_argument("url")
+    p.add_argument("--runner", required=True, help="module:name of the callable that fetches")
+    p.add_argument("--name", default="")
+    for name in ("distil", "synthesize"):
+        sub.add_parser(name).add_argument("--model", default="", help="module:name of a callable instead of the settings' model")
+    p = sub.choices["synthesize"]
+    p.add_argument("--topic", default="")
+    for flag in ("--full", "--gaps", "--incremental-all"):
+        p.add_argument(flag, action="store_true")
     a = parser.parse_args(argv)
     if a.command == "init":
         init(a.root, a.force)
         return 0
+    from . import service, tools
+    from .sources.model_client import HttpModel
+
+    settings = service.Settings.load(a.settings)
     spark = SparkSession.builder.appName("lorekeep").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     kb = KnowledgeBase(spark, a.root)
+    model = lambda: _imported(a.model) if a.model else HttpModel(settings.llm_base, settings.llm_token, settings.llm_model)
+
+    def synthesize():
+        if a.gaps:
+            return {"report": kb.gaps(model(), a.topic)}
+        return {"pages": kb.synthesize_each(model()) if a.incremental_all else kb.synthesize(model(), a.topic, a.full)}
+
     try:
+        if a.command == "serve":
+            service.Service(kb, settings, a.settings).serve().serve_forever()
+        if a.command == "stdio":
+            tools.serve(kb, sys.stdin, lambda line: (sys.stdout.write(line), sys.stdout.flush()))
+            return 0
         out = {
             "status": kb.status, "files": kb.files, "search": lambda: kb.search(a.query, limit=a.limit), "context": lambda: kb.context(a.query, a.limit),
-            "index": lambda: {"written": kb.reindex(a.full)}, "lint": lambda: kb.lint(a.strict),
+            "index": lambda: {"written": kb.reindex(a.full)}, "lint": lambda: kb.lint(a.strict), "import": lambda: kb.import_document(a.url, a.runner, a.name),
+            "distil": lambda: kb.distil(model()), "synthesize": synthesize, "watch": lambda: kb.watch("5 seconds").awaitTermination(),
         }[a.command]()
     except RequestError as e:
         print(e, file=sys.stderr)

@@ -29,7 +29,7 @@ class Settings:
     @classmethod
     def load(cls, path: str, env: dict | None = None) -> Settings:
         values, env = {}, os.environ if env is None else env
-        if Path(path).exists():
+        if Path(path).is_file():
             for line in Path(path).read_text().splitlines():
                 key, colon, value = line.partition(":")
                 if colon and not line.lstrip().startswith("#"):

@@ -1,13 +1,16 @@
 import json
 import threading
 import urllib.request
+from http.server import BaseHTTPRequestHandler, HTTPServer
 from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry
 from lorekeep.api import KnowledgeBase, RequestError, init, main
+from lorekeep import tools
 from lorekeep.service import Service, Settings
+from lorekeep.sources.model_client import HttpModel
 
 PAGE = "---\ntitle: Go\ntype: concept\nsources:\n  - raw/go.md\ntimestamp: 2026-01-01\n---\nGo compiles fast. [[Other]]\n"
 
@@ -109,3 +112,56 @@ def test_service(kb, tmp_path):
     request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}/api/settings", headers=key)
     assert json.loads(urllib.request.urlopen(request, timeout=20).read())["workers"] == 7
     server.server_close()
+
+
+def test_agent_tools(kb):
+    asked = [
+        {"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "nothing"},
+        {"id": 4, "method": "tools/call", "params": {"name": "kb_page", "arguments": {"ids": ["wiki/concepts/go.md"]}}}, {"id": 5, "method": "tools/call", "params": {"name": "kb_search", "arguments": {}}},
+        {"id": 6, "method": "tools/call", "params": {"name": "kb_search", "arguments": {"query": "compiles", "limit": 2}}},
+    ]
+    out: list[str] = []
+    tools.serve(kb, iter([*map(json.dumps, asked), "", "no json"]), out.append)
+    got = {r["id"]: r for r in map(json.loads, out)}
+    assert [t["name"] for t in got[2]["result"]["tools"]] == ["kb_search", "kb_page", "kb_add"] and got[3]["error"]["code"] == -32601
+    assert "Go compiles fast" in got[4]["result"]["content"][0]["text"] and got[5]["result"]["isError"] and got[None]["error"]
+    assert json.loads(got[6]["result"]["content"][0]["text"])["results"]
+
+
+def echo_model(system, user):
+    return json.dumps([]) if "JSON" in system else "---\ntitle: E\n---\nx"
+
+
+def test_more_commands(kb, spark, capsys):
+    for command in (["status"], ["search", "compiles", "--limit", "2"], ["lint"], ["index"], ["distil", "--model", "test_api:echo_model"], ["synthesize", "--full", "--model", "test_api:echo_model"]):
+        assert main(["--root", kb.root, *command]) == 0
+        assert json.loads(capsys.readouterr().out) is not None
+
+
+@pytest.mark.parametrize("style", ["chat", "messages"])
+def test_http_model(style):
+    seen = {}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.update(body, path=self.path, key=self.headers.get("x-api-key") or self.headers.get("Authorization"))
+            refused = body["model"] == "busy"
+            answer = {"content": [{"type": "text", "text": "hi"}]} if style == "messages" else {"choices": [{"message": {"content": "hi"}}]}
+            self.send_response(429 if refused else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps(answer).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/v1"
+    assert HttpModel(base, "t", "m", style)("sys", "user") == "hi"
+    assert seen["path"] == ("/v1/messages" if style == "messages" else "/v1/chat/completions") and "t" in seen["key"] and seen["messages"][-1]["content"] == "user"
+    with pytest.raises(RuntimeError, match="429"):
+        HttpModel(base, "t", "busy", style)("s", "u")
+    with pytest.raises(ValueError):
+        HttpModel("", "t", "m")("s", "u")
+    server.shutdown()
