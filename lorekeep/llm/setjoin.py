@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, small
 from .terms import clean_term
 
 #: Slack for products of binary fractions, so that equality at the threshold counts.
@@ -24,8 +24,8 @@ EPS = 1e-9
 def record_sets(rows: DataFrame, record: str, item: str, least: int) -> DataFrame:
     """record, items (sorted, distinct, cleaned) of the records with at least `least` items."""
     pairs = rows.select(F.col(record).alias("record"), clean_term(F.col(item)).alias("item"))
-    pairs = pairs.where(F.col("record").isNotNull() & (F.col("item") != "")).distinct()
-    sets = pairs.groupBy("record").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    pairs = pairs.where(F.col("record").isNotNull() & (F.col("item") != ""))
+    sets = pairs.groupBy("record").agg(F.sort_array(F.collect_set("item")).alias("items"))  # repeated items end in the tasks that read them
     return sets.where(F.size("items") >= least)
 
 
@@ -38,11 +38,12 @@ def similar_sets(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
     keyed = materialise(keyed, "sets")
     classes = keyed.groupBy("class_id").agg(F.first("items").alias("items"))
     tokens = classes.select("class_id", F.size("items").alias("n"), F.explode("items").alias("item"))
-    ranks = tokens.groupBy("item").agg(F.count("*").alias("df"))
+    ranks = materialise(tokens.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "set-items")
+    # an item that isn't among them stands in one class; where they are few enough to be broadcast, the classes need not move
     ordered = (
-        tokens.join(ranks, "item")
+        tokens.join(small(ranks, 100), "item", "left")
         .groupBy("class_id", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("by_rarity"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item"))).alias("by_rarity"))
     )
     ordered = materialise(ordered.select("class_id", "n", F.col("by_rarity.item").alias("items"), F.col("by_rarity.df").alias("dfs")), "sets-ordered")
     prefix = F.col("n") - F.ceil(F.col("n") * threshold - EPS) + 1
