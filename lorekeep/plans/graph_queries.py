@@ -74,7 +74,7 @@ def resolved_wikilink_boost(spark, sf_dir):
     return boost(graph.resolved_wikilinks(links, pages, slug(F.col("id"))))
 
 
-_ADJACENCY = """
+ADJACENCY = """
 WITH adjacency AS (
   SELECT source_doc_id AS seed, target_doc_id AS id FROM links WHERE relation IN ('cites', 'supports', 'wikilink', 'related_to')
   UNION SELECT target_doc_id, source_doc_id FROM links WHERE relation IN ('supports', 'wikilink')),
@@ -98,6 +98,11 @@ by_tag AS (SELECT * FROM (SELECT seed, id, kind, title, row_number() OVER (PARTI
 _HOP1 = """,
 hop1 AS (SELECT DISTINCT b.doc_id FROM rare a JOIN rare b ON a.tag = b.tag WHERE a.doc_id IN (FROM seeds) AND b.doc_id NOT IN (FROM seeds))
 """
+MERGED_SQL = _TAGS + _RELATED + _BY_TAG + f""",
+both_lists AS (SELECT 0 AS l, * FROM related UNION ALL SELECT 1, * FROM by_tag),
+once AS (SELECT * FROM both_lists QUALIFY row_number() OVER (PARTITION BY seed, id ORDER BY l, place) = 1),
+merged AS (SELECT seed, id, kind, title, row_number() OVER (PARTITION BY seed ORDER BY l, place)::INT AS place FROM once QUALIFY row_number() OVER (PARTITION BY seed ORDER BY l, place) <= {MERGED})
+"""
 _BOOST = """SELECT target_doc_id AS doc_id, count(*) AS n_inbound, least(count(*) / 10.0::DOUBLE, 1.0::DOUBLE) AS graph_boost FROM {} WHERE target_doc_id IS NOT NULL GROUP BY 1"""
 
 QUERIES = {
@@ -106,18 +111,15 @@ QUERIES = {
 }
 SQL = {
     "graph_boost": _BOOST.format("links"),
-    "graph_expand": _ADJACENCY + f"SELECT * FROM page WHERE id IN (SELECT a.id FROM adjacency a JOIN seeds s ON a.seed = s.id) AND id NOT IN (FROM seeds) ORDER BY title, id LIMIT {LIMIT}",
-    "fetch_related_batch": _ADJACENCY + _RELATED + "SELECT * FROM related",
+    "graph_expand": ADJACENCY + f"SELECT * FROM page WHERE id IN (SELECT a.id FROM adjacency a JOIN seeds s ON a.seed = s.id) AND id NOT IN (FROM seeds) ORDER BY title, id LIMIT {LIMIT}",
+    "fetch_related_batch": ADJACENCY + _RELATED + "SELECT * FROM related",
     "tag_document_frequency": "SELECT tag, count(DISTINCT doc_id) AS n_docs FROM document_tags WHERE tag IS NOT NULL GROUP BY tag",
-    "tag_expand_1hop": _ADJACENCY + _TAGS + _HOP1 + f"SELECT * FROM page WHERE id IN (FROM hop1) ORDER BY title, id LIMIT {LIMIT}",
-    "tag_expand_2hop": _ADJACENCY + _TAGS + _HOP1
+    "tag_expand_1hop": ADJACENCY + _TAGS + _HOP1 + f"SELECT * FROM page WHERE id IN (FROM hop1) ORDER BY title, id LIMIT {LIMIT}",
+    "tag_expand_2hop": ADJACENCY + _TAGS + _HOP1
     + f""", hop2 AS (SELECT DISTINCT b.doc_id FROM rare a JOIN rare b ON a.tag = b.tag WHERE a.doc_id IN (FROM hop1) AND b.doc_id NOT IN (FROM seeds))
 SELECT * FROM page WHERE id IN (FROM hop1 UNION FROM hop2) ORDER BY title, id LIMIT {LIMIT}""",
-    "tag_related_batch": _ADJACENCY + _TAGS + _BY_TAG + "SELECT * FROM by_tag",
-    "merge_related": _ADJACENCY + _TAGS + _RELATED + _BY_TAG
-    + f""", both_lists AS (SELECT 0 AS l, * FROM related UNION ALL SELECT 1, * FROM by_tag),
-once AS (SELECT * FROM both_lists QUALIFY row_number() OVER (PARTITION BY seed, id ORDER BY l, place) = 1)
-SELECT seed, id, kind, title, row_number() OVER (PARTITION BY seed ORDER BY l, place)::INT AS place FROM once QUALIFY row_number() OVER (PARTITION BY seed ORDER BY l, place) <= {MERGED}""",
+    "tag_related_batch": ADJACENCY + _TAGS + _BY_TAG + "SELECT * FROM by_tag",
+    "merge_related": ADJACENCY + MERGED_SQL + "SELECT * FROM merged",
     "conflict_links": """SELECT DISTINCT source_doc_id AS source_id, target_doc_id AS target_id, relation FROM links WHERE relation IN ('contradicts', 'supersedes')
   AND (source_doc_id IN (SELECT id FROM kb_documents WHERE kind = 'decision') OR target_doc_id IN (SELECT id FROM kb_documents WHERE kind = 'decision'))""",
     "cited_sources": """SELECT id, path, coalesce(title, '') AS title FROM kb_documents WHERE layer = 'raw' AND id IN (

@@ -204,6 +204,10 @@ SELECT id, tag, count(*) AS n FROM m WHERE length(tag) BETWEEN 2 AND 20 AND tag
     "naive_keyword_score": _retrieved("WHERE layer = 'raw'") + "SELECT item_id, id, score, place FROM retrieved",
     "eval_hit_mrr": _retrieved("") + _HITS,
     "eval_means": _retrieved("") + f", s AS ({_HITS}) SELECT suite, round(avg(hit), 9) AS hit, round(avg(rr), 9) AS rr FROM s JOIN eval_items USING (item_id) GROUP BY suite",
+    "eval_comparison": f"WITH a AS ({_retrieved('')} {_HITS}), b AS ({_retrieved("WHERE layer = 'raw'")} {_HITS}) "
+    + " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, round(x, 9) AS ours, round(y, 9) AS theirs, round(x - y, 9) AS delta FROM (SELECT avg({m}) AS x FROM a), (SELECT avg({m}) AS y FROM b)" for m in ("hit", "rr")
+    ),
     "alike_descriptions": search_queries.BASE
     + search_queries.phases_sql("p", "true", RESULTS)
     + r""", d AS (SELECT id, list_distinct([w for w in regexp_split_to_array(lower(description), '\s+') if length(w) >= 2]) AS w FROM p WHERE description <> ''),

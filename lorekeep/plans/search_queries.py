@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, search
 from ..session import table
+from .graph_queries import ADJACENCY, MERGED_SQL
 
 QUERY, AS_OF = "pipeline, incident 模板，db", 1767225600
 LIMIT, SOURCES, SYNTHS = 10, 10, 3
@@ -164,4 +165,13 @@ SQL = {
     + f""", boost AS (SELECT target_doc_id AS id, least(count(*) / 10.0::DOUBLE, 1.0::DOUBLE) AS graph_boost FROM links GROUP BY 1)
 SELECT p.id, kind, coalesce(graph_boost, 0) AS graph_boost, round({_SCORE}, 9) AS score FROM p LEFT JOIN boost b ON p.id = b.id""",
     "layered_search": _LAYERED + "SELECT id, kind, title, authority, graph_boost, round(rrf, 9) AS rrf, round(score, 9) AS score, pool, place FROM layered",
+    "search_expand": BASE
+    + _fused(4 * LIMIT, "wiki")
+    + ADJACENCY.replace("WITH", ",", 1)
+    + f""", best AS (SELECT id FROM fused WHERE position <= {LIMIT})
+SELECT * FROM page WHERE id IN (SELECT a.id FROM adjacency a JOIN best b ON a.seed = b.id) AND id NOT IN (FROM best) ORDER BY title, id LIMIT {LIMIT}""",
+    "layered_search_related": _LAYERED
+    + ADJACENCY.replace("WITH", ",", 1)
+    + MERGED_SQL
+    + "SELECT l.id, l.pool, l.place, m.id AS related_id, m.place AS related_place FROM layered l LEFT JOIN merged m ON m.seed = l.id",
 }
