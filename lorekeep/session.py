@@ -7,10 +7,11 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only while it has at most this many bytes, by its measured row count.
+#: A side is broadcast only while its rows, measured, have at most this many bytes.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -60,6 +61,26 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType | T.BinaryType):
+        n = F.octet_length(c)
+    elif isinstance(kind, T.ArrayType):
+        n = F.aggregate(c, F.lit(0), lambda n, x: n + _bytes(x, kind.elementType).cast("int"))
+    elif isinstance(kind, T.StructType):
+        n = sum((_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(0))
+    else:
+        n = F.lit(8)
+    return F.coalesce(n, F.lit(0)) + 8
+
+
+def broadcastable(df: DataFrame) -> DataFrame:
+    """Marks `df` for broadcast if its rows, summed up in one job, fit BROADCAST_BYTES; otherwise the join shuffles. Pass a written
+    table, for it is read twice."""
+    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    size = df.agg(F.sum(row.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Marks `df` for broadcast if its counted rows fit BROADCAST_BYTES; otherwise the join shuffles."""
+    """As broadcastable, with a stated size of rows."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
