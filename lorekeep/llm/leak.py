@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, small, spread
@@ -187,8 +187,6 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
 
 def merged(spans: DataFrame, key: str) -> DataFrame:
     """The union of spans [start, end) per key, as disjoint spans."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.select(key, "start", "end").distinct().withColumn("opens", F.when(reach >= F.col("start"), 0).otherwise(1))
@@ -196,6 +194,14 @@ def merged(spans: DataFrame, key: str) -> DataFrame:
     return grouped.groupBy(key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
+def without(text: Column, spans: Column) -> Column:
+    """The text without the disjoint, sorted spans: what lies between the end of one and the start of the next."""
+    start = F.concat(F.array(F.lit(0).cast("bigint")), spans["end"])
+    end = F.concat(spans["start"], F.array(F.length(text).cast("bigint")))
+    kept = F.zip_with(start, end, lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")))
+    return F.array_join(kept, "")
+
+
 def decontaminated(docs: DataFrame, key: str, text: str, leaks: DataFrame, max_span: int = MAX_SPAN, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """doc_id, action, n_removed, coverage, text of every affected document.
 
@@ -206,11 +212,7 @@ def decontaminated(docs: DataFrame, key: str, text: str, leaks: DataFrame, max_s
     spans = merged(long, "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     spans = small(materialise(spans, "leak-spans"), 400)
     hit = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(spans, "doc_id")
-    # what is kept lies between the end of one span and the start of the next
-    start = F.concat(F.array(F.lit(0).cast("bigint")), F.col("spans.end"))
-    end = F.concat(F.col("spans.start"), F.array(F.length("text").cast("bigint")))
-    kept = F.zip_with(start, end, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda x, s: x + s["end"] - s["start"])
-    out = hit.select("doc_id", removed.alias("n_removed"), (removed / F.length("text")).alias("coverage"), F.array_join(kept, "").alias("text"))
+    out = hit.select("doc_id", removed.alias("n_removed"), (removed / F.length("text")).alias("coverage"), without(F.col("text"), F.col("spans")).alias("text"))
     drop = F.col("coverage") > max_coverage
     return out.select("doc_id", F.when(drop, "drop").otherwise("trim").alias("action"), "n_removed", "coverage", F.when(~drop, F.col("text")).alias("text"))

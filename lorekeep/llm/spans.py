@@ -1,15 +1,20 @@
 """Long exact spans shared between texts.
 
 Suffix automata of every reference shard can't be broadcast to all documents: here every text is a reference, so that would be
-shards times corpus. Instead each shard's automaton goes where it can match. Texts are winnowed: of the hashes of all stretches of
-least / 2 code points in a window so long that every stretch of `least` code points holds a whole window, the least is kept; two texts that share such a
-stretch share a kept hash. Texts that share one are candidates; they are put into shards of bounded size by hash, and every
-candidate is streamed through the automata of just those shards that hold a candidate it shares a hash with.
-
-A shard's automaton reads texts as sequences of chunks between boundaries that depend on the few code points around them
-(again winnowing), about one symbol for a dozen code points: any common stretch of `least` code points holds the same chunks except for its ends, so the
-matching statistics over chunks name every text that can share one. The spans are then made exact, to the code
-point, on the two texts. Equal texts are one class, and are sent and matched once.
+shards times corpus. Instead each shard's automaton is set up where it can match, and only what can match is streamed through it.
+
+Texts are winnowed: of the hashes of all stretches of least / 2 code points in a window so long that every stretch of `least`
+code points holds a whole window, the least is kept; two texts that share such a stretch share a kept hash, at the same place in
+it. Of each text the surroundings of its shared hashes are cut out as segments: just what a stretch of `least` code points that
+holds the hash can reach. Segments meet under their hash, equal ones as one row whatever number of texts they stand in. A hash
+with more than HOT different segments is split: its stretches by where they begin, in halves again and again, each half under a hash of all that its
+stretches have in common, until what differs lies outside. So each segment goes to one place, a passage that very many texts share
+collapses into a few rows, and no text, however long, goes anywhere as a whole.
+
+A task sets up one automaton after the other, each over the segments of at most SHARD_CHARS code points, and streams these through it.
+It reads them as sequences of chunks between boundaries that depend on the few code points around them (again winnowing), about one symbol for a dozen code
+points: any common stretch of `least` code points holds the same chunks except for its ends, so the matching statistics over chunks name
+every segment that can share one. The spans are then made exact, to the code point. Equal texts and equal segments are told apart by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -18,15 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise, small, spread
+from ..session import broadcastable, materialise, spread
 from .automaton import SuffixAutomaton
-from .leak import merged
+from .leak import merged, without
 from .words import mix
 
-LEAST, SHARD_CHARS, SALT_ROWS = 400, 500_000, 500
+LEAST, SHARD_CHARS, HOT = 400, 500_000, 32
+#: Code points of segments that one partition is meant for, and the most partitions that are planned.
+PART_CHARS, MOST_PARTS = 4_000_000, 20_000
 CHUNK_GRAM, CHUNK_WINDOW = 8, 24
 #: Long texts are hashed in blocks of so many code points, which overlap.
 BLOCK = 1 << 20
@@ -91,25 +98,35 @@ def sliding_least(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def fingerprints(points: np.ndarray, least: int) -> np.ndarray:
-    """Kept hashes: texts that share `least` consecutive code points share one of them."""
+def kept_grams(points: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the kept stretches of least / 2 code points: every one that is the least of some window. In a stretch
+    that two texts have in common, both keep the same ones."""
     k = least // 2
     w = least - k + 1
-    kept = []
+    at, kept = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     for a in range(0, max(1, len(points) - least + 1), BLOCK):
-        kept.append(np.unique(sliding_least(gram_hashes(points[a : a + BLOCK + least - 1], k), w)))
-    return np.unique(np.concatenate(kept))
+        h = gram_hashes(points[a : a + BLOCK + least - 1], k)
+        mine = _window_minima(h, w)
+        at.append(mine + a)
+        kept.append(h[mine])
+    at, first = np.unique(np.concatenate(at), return_index=True)
+    return at, np.concatenate(kept)[first]
 
 
-def _chunks(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = gram_hashes(points, CHUNK_GRAM)
-    m = sliding_least(h, CHUNK_WINDOW)
+def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
+    """Positions that are the least of some window of w that holds them: they equal the greatest of these windows' minima."""
+    m = sliding_least(h, w)
     if not len(m):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    # a position is the least of some window that holds it if it equals the greatest of these windows' minima
-    tops = np.zeros(len(h) + CHUNK_WINDOW - 1, np.uint64)
-    tops[CHUNK_WINDOW - 1 : CHUNK_WINDOW - 1 + len(m)] = m
-    bounds = np.flatnonzero(h == ~sliding_least(~tops, CHUNK_WINDOW))
+        return np.empty(0, np.int64)
+    tops = np.zeros(len(h) + w - 1, np.uint64)
+    tops[w - 1 : w - 1 + len(m)] = m
+    return np.flatnonzero(h == ~sliding_least(~tops, w))
+
+
+def _chunks(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    bounds = _window_minima(gram_hashes(points, CHUNK_GRAM), CHUNK_WINDOW)
+    if not len(bounds):
+        return bounds, np.empty(0, np.uint64)
     sums, down = _totals(points)
     a, b = bounds[:-1], bounds[1:]
     return bounds, mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
@@ -191,160 +208,271 @@ def shared_spans(a: Stretches, b: Stretches) -> tuple[list[tuple[int, int]], lis
 def _winnow(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [fingerprints(code_points(t.as_py()), least).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.list_(pa.int64()))], ["class", "prints"])
+            prints = [np.unique(kept_grams(code_points(t.as_py()), least)[1]).view(np.int64) for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(prints, pa.list_(pa.int64()))], ["id", "digest", "n_chars", "prints"])
+
+    return run
+
+
+def _segments(least: int):
+    """The surroundings of a text's shared hashes, equal ones once with all their starts."""
+
+    def rows(b: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([h[1] for h in held], pa.int64()), b.column(0).take(pa.array([h[0] for h in held], pa.int64()))]
+        columns += [pa.array([h[2] for h in held], pa.int32()), pa.array([h[4] for h in held], pa.list_(pa.int64())), pa.array([h[3] for h in held], pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["key", "class", "off", "starts", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side = least - least // 2
+        for b in batches:
+            held: list[tuple] = []
+            for n, (value, prints) in enumerate(zip(b.column(1), b.column(2), strict=True)):
+                text = value.as_py()
+                at, hashes = kept_grams(code_points(text), least)
+                hashes = hashes.view(np.int64)
+                shared = np.isin(hashes, prints.values.to_numpy())
+                found: dict[tuple, list[int]] = {}
+                for p, h in zip(at[shared].tolist(), hashes[shared].tolist(), strict=True):
+                    start = max(0, p - side)
+                    found.setdefault((h, p - start, text[start : p + least]), []).append(start)
+                held += [(n, *k, starts) for k, starts in found.items()]
+                if len(held) > 2_000:
+                    yield rows(b, held)
+                    held = []
+            yield rows(b, held)
 
     return run
 
 
 class _Shard:
+    """Segments of several hashes, in order of hash, and their automaton."""
+
     def __init__(self, least: int):
-        self.least, self.automaton, self.texts, self.names, self.ids = least, SuffixAutomaton(), [], [], {}
-        self.all: tuple | None = None
+        self.least, self.automaton, self.ids, self.chars = least, SuffixAutomaton(), {}, 0
+        self.rows: list[tuple] = []  # (key, segment, first class, last class)
+        self.points: list[np.ndarray] = []
+        self.read: list[tuple[np.ndarray, list[int]]] = []  # chunk boundaries and symbols
+        self._stretches: dict[int, Stretches] = {}
 
-    def add(self, name: str, text: str) -> None:
+    def add(self, key: int, segment: bytes, text: str, lo, hi) -> None:
         points = code_points(text)
-        _, symbols = chunks(points)
-        self.automaton.add([self.ids.setdefault(s, len(self.ids)) for s in symbols.tolist()], len(self.names))
-        self.names.append(name)
-        self.texts.append(Stretches(points, self.least))
-
-    def candidates(self, points: np.ndarray) -> set[int]:
-        """Reference texts that hold, in whole chunks, what a stretch of `least` code points must have in common."""
         bounds, symbols = chunks(points)
+        self.read.append((bounds, [self.ids.setdefault(s, len(self.ids)) for s in symbols.tolist()]))
+        self.automaton.add(self.read[-1][1], len(self.rows))
+        self.rows.append((key, segment, lo, hi))
+        self.points.append(points)
+        self.chars += len(points)
+
+    def stretches(self, i: int) -> Stretches:
+        if i not in self._stretches:
+            if len(self._stretches) > 4 * HOT:  # segments of one hash stand together
+                self._stretches.clear()
+            self._stretches[i] = Stretches(self.points[i], self.least)
+        return self._stretches[i]
+
+    def candidates(self, i: int) -> set[int]:
+        """Segments that hold, in whole chunks, what a stretch of `least` code points of segment i must have in common with them."""
+        bounds, symbols = self.read[i]
         sa, found, need = self.automaton, set(), self.least - _EDGE
         # the fewest chunks ending at each chunk that make up `need` code points
         first = np.searchsorted(bounds, bounds[1:] - need, "right") - 1 if len(bounds) else bounds
-        get = self.ids.get
-        states = sa.matches(get(s, -1) for s in symbols.tolist())
-        for i, ((v, n), start) in enumerate(zip(states, first.tolist(), strict=True)):
-            if start >= 0 and n >= i + 1 - start:
-                found |= sa.owners(sa.suffix_state(v, i + 1 - start))
+        for at, ((v, n), start) in enumerate(zip(sa.matches(symbols), first.tolist(), strict=True)):
+            if start >= 0 and n >= at + 1 - start:
+                found |= sa.owners(sa.suffix_state(v, at + 1 - start))
         return found
 
-    def shared_with_any(self, text: Stretches, own: int) -> list[tuple[int, int]]:
-        """The parts of a text covered by stretches that stand in any reference text but number `own`, without going through them one by one."""
-        if self.all is None:
-            hashes = np.concatenate([t.hashes for t in self.texts])
-            owners = np.repeat(np.arange(len(self.texts)), [len(t.hashes) for t in self.texts])
-            places = np.concatenate([np.arange(len(t.hashes)) for t in self.texts])
-            order = np.lexsort((owners, hashes))
-            self.all = hashes[order], owners[order], places[order]
-        hashes, owners, places = self.all
-        first, last = np.searchsorted(hashes, text.hashes), np.searchsorted(hashes, text.hashes, "right") - 1
-        at = np.flatnonzero(first <= last)
-        at = at[(owners[first[at]] != own) | (owners[last[at]] != own)]
-        if not len(at):
-            return []
-
-        def stands(i: int, every: bool) -> bool:
-            for k in range(first[i], last[i] + 1):
-                if owners[k] != own:
-                    if np.array_equal(self.texts[owners[k]].points[places[k] : places[k] + self.least], text.points[i : i + self.least]):
-                        return True
-                    if not every:
-                        return False
-            return False
-
-        if not all(stands(i, False) for i in _enough(at, self.least)):  # two different stretches have one hash
-            at = np.array([i for i in at.tolist() if stands(i, True)], int)
-        return _joined(at, self.least) if len(at) else []
+    def pairs(self) -> Iterator[tuple[int, int, list, list]]:
+        """Pairs of segments of one hash and of different texts, with the spans of each that stand in the other."""
+        for i, (key, _, lo, hi) in enumerate(self.rows):
+            for j in sorted(self.candidates(i)):
+                other = self.rows[j]
+                if j >= i or other[0] != key or (lo == hi == other[2] == other[3]):
+                    continue
+                theirs, ours = shared_spans(self.stretches(j), self.stretches(i))
+                if theirs:
+                    yield j, i, theirs, ours
 
 
-_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_SPAN_SQL = "array<struct<start: bigint, end: bigint>>"
+def _value(x):
+    """A class as it came, comparable."""
+    return tuple(x.values())
 
 
-def _spans(spans: list[list[tuple[int, int]]]) -> pa.Array:
-    return pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPAN)
+def _shards(batches: Iterator[pa.RecordBatch], least: int, shard_chars: int) -> Iterator[_Shard]:
+    """Rows come by key; the segments of one key are never divided."""
+    shard = _Shard(least)
+    for b in batches:
+        for i in range(b.num_rows):
+            key = b.column(0)[i].as_py()
+            if shard.chars > shard_chars and key != shard.rows[-1][0]:
+                yield shard
+                shard = _Shard(least)
+            shard.add(key, b.column(1)[i].as_py(), b.column(2)[i].as_py(), _value(b.column(3)[i].as_py()), _value(b.column(4)[i].as_py()))
+    if shard.rows:
+        yield shard
 
 
-def _match(least: int, pairs: bool):
-    """Rows come by shard, in it the references (role 0) before the texts to stream."""
+def _match(least: int, shard_chars: int):
+    """Pairs of segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, shard = None, None
-        for b in batches:
-            out: list[tuple] = []
-            for i in range(b.num_rows):
-                at, name, text = (b.column(0)[i].as_py(), b.column(1)[i].as_py()), b.column(3)[i].as_py(), b.column(4)[i].as_py()
-                if at != now:
-                    now, shard = at, _Shard(least)
-                if b.column(2)[i].as_py() == 0:
-                    shard.add(name, text)
-                    continue
-                points = code_points(text)
-                near = [r for r in shard.candidates(points) if (shard.names[r] < name if pairs else shard.names[r] != name)]
-                if not near:
-                    continue
-                mine = Stretches(points, least)
-                if not pairs:
-                    own = shard.names.index(name) if name in shard.names else -1
-                    if spans := shard.shared_with_any(mine, own):
-                        out.append((name, spans))
-                    continue
-                for r in near:
-                    theirs, ours = shared_spans(shard.texts[r], mine)
-                    if theirs:
-                        out.append((shard.names[r], name, theirs, ours))
-            names = [pa.array([x[c] for x in out], pa.string()) for c in range(1 + pairs)]
-            spans = [_spans([x[c] for x in out]) for c in range(1 + pairs, 2 + 2 * pairs)]
-            yield pa.RecordBatch.from_arrays(names + spans, ["class_a", "class_b", "spans_a", "spans_b"] if pairs else ["class", "spans"])
+        for shard in _shards(batches, least, shard_chars):
+            found = [(shard.rows[j], shard.rows[i]) for j, i, _, _ in shard.pairs()]
+            columns = [pa.array([a[0] for a, _ in found], pa.int64()), *(pa.array([x[n][1] for x in found], pa.binary()) for n in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "seg_a", "seg_b"])
 
     return run
 
 
-def _routed(docs: DataFrame, key: str, text: str, least: int, shard_chars: int) -> tuple[DataFrame, DataFrame]:
-    """(members, work): work has the rows for _match, each shard's in one partition, references first."""
-    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= least))
-    docs = docs.withColumn("class", F.md5(F.col("text").cast("binary")))
-    members = materialise(docs.select("class", "id", F.length("text").alias("n_chars")).distinct(), "members")
-    prints = spread(docs, "id").select("class", "text").mapInArrow(_winnow(least), "class string, prints array<bigint>")
-    # equal texts meet in the map-side half of this aggregation
-    prints = materialise(prints.select(F.explode("prints").alias("print"), "class").distinct(), "prints")
-    met = prints.groupBy("print").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("print")
-    met = materialise(prints.join(small(materialise(met, "prints-met"), 8), "print"), "prints-of-candidates")
-
-    lead = members.groupBy("class").agg(F.min("id").alias("id"), F.first("n_chars").alias("n_chars"))
-    cands = materialise(met.select("class").distinct().join(lead, "class"), "candidates")
-    chars = cands.agg(F.sum("n_chars")).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
-    shard = F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int")
-    # which shards a candidate must go through: those of the texts with one of its hashes, once each
-    goals = met.select("print", shard.alias("shard")).distinct()
-    routes = materialise(met.join(goals, "print").select("class", "shard").distinct(), "routes")
-    # a shard that many texts must go through is set up several times, each for a share of them
-    salts = materialise(routes.groupBy("shard").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")), "salts")
-    groups = salts.agg(F.sum("salts")).first()[0] or 1
-    streams = routes.join(salts, "shard").select("shard", F.pmod(F.xxhash64("class", F.lit(1)), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "class")
-    references = cands.select("class", shard.alias("shard")).join(salts, "shard")
-    references = references.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "class")
-    texts = docs.join(small(cands.select("class", "id"), 90), ["class", "id"]).select("class", "text").dropDuplicates(["class"])
-    texts = materialise(texts, "candidate-texts")
-    work = references.unionByName(streams).join(texts, "class").select("shard", "salt", "role", "class", "text")
-    # a fixed number of partitions: the work per byte is too high for the sizes that adaptive execution aims at
-    return members, work.repartition(groups, "shard", "salt").sortWithinPartitions("shard", "salt", "role", "class")
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_SPAN_SQL = "array<struct<start: bigint, end: bigint>>"
+
+
+def _cover(least: int, shard_chars: int):
+    """Per segment the spans that stand in another text, and those that stand in an earlier one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches, least, shard_chars):
+            other: dict[int, list] = {}
+            earlier: dict[int, list] = {}
+            for j, i, theirs, ours in shard.pairs():
+                for x, y, spans in ((j, i, theirs), (i, j, ours)):
+                    other.setdefault(x, []).extend(spans)
+                    if shard.rows[y][2] < shard.rows[x][2]:
+                        earlier.setdefault(x, []).extend(spans)
+            seen = sorted(other)
+            lists = [pa.array([[{"start": a, "end": b} for a, b in sorted(set(of.get(x, ())))] for x in seen], _SPAN) for of in (other, earlier)]
+            yield pa.RecordBatch.from_arrays([pa.array([shard.rows[x][0] for x in seen], pa.int64()), pa.array([shard.rows[x][1] for x in seen], pa.binary()), *lists], ["key", "seg", "other", "earlier"])
+
+    return run
+
+
+def _halves(cells: DataFrame, least: int) -> DataFrame:
+    """Rows (their stretches begin lo to hi code points after the hash) by halves of that range, under a hash of all that the stretches
+    of a half have in common. A half whose common part isn't wholly in the text has no stretch."""
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    half = F.explode(F.array(F.struct(F.col("lo").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("hi").alias("b"))))
+    out = cells.select("*", half.alias("half")).select("*", "half.a", "half.b")
+    core_from, core_to = F.col("off") + F.col("b"), F.col("off") + F.col("a") + least
+    out = out.where((core_from >= 0) & (core_to <= F.length("text")))
+    begin = F.greatest(F.col("off") + F.col("a"), F.lit(0))
+    end = F.least(F.col("off") + F.col("b") + least, F.length("text"))
+    core = F.substring(F.col("text"), core_from + 1, core_to - core_from)
+    return out.select(
+        F.xxhash64("key", "a", core).alias("key"), "class", (F.col("off") - begin).cast("int").alias("off"), "starts", (F.col("shift") + begin).alias("shift"),
+        F.substring(F.col("text"), begin + 1, end - begin).alias("text"), F.col("a").alias("lo"), F.col("b").alias("hi"),
+    )
+
+
+def _parts(df: DataFrame, chars: int) -> int:
+    return min(MOST_PARTS, max(df.sparkSession.sparkContext.defaultParallelism, chars // PART_CHARS))
+
+
+def _cut(docs: DataFrame, key: str, text: str, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, cells, segments): members is digest, id, n_chars of each row of a text; cells is key, seg, class, starts, shift: the segments of each class
+    (a struct of the least id with a text, and its digest), which begin `shift` after each of the starts; segments is key, seg, text, lo, hi, n: the different ones of each key, their first
+    and last class, and how many the key has."""
+    docs = docs.select(F.col(key).alias("id"), F.md5(F.col(text).cast("binary")).alias("digest"), F.length(text).alias("n_chars"), F.col(text).alias("text"))
+    docs = docs.withColumn("digest", F.unhex("digest")).where(F.col("id").isNotNull() & (F.col("n_chars") >= least))
+    kind = docs.schema["id"].dataType.simpleString()
+    hashed = materialise(spread(docs, "id").mapInArrow(_winnow(least), f"id {kind}, digest binary, n_chars int, prints array<bigint>"), "winnowed")
+    members = hashed.select("digest", "id", "n_chars").distinct()
+    prints = hashed.select(F.explode("prints").alias("print"), "digest")
+    short = F.xxhash64("digest")
+    met = prints.groupBy("print").agg(F.min(short).alias("x"), F.max(short).alias("y")).where("x < y").select("print")
+    shared = prints.join(met.hint("merge"), "print").groupBy("digest").agg(F.collect_set("print").alias("prints"))  # of one text: bounded by it
+    lead = members.groupBy("digest").agg(F.min("id").alias("lead"), F.first("n_chars").alias("n_chars"))
+    cands = materialise(shared.join(lead.hint("merge"), "digest"), "candidates")
+    parts = _parts(docs, cands.agg(F.sum("n_chars")).first()[0] or 0)
+    texts = docs.join(broadcastable(cands.select(F.col("lead").alias("id"), "digest")), ["id", "digest"]).select("digest", "text").dropDuplicates(["digest"])
+    texts = texts.repartition(parts, "digest").join(cands.hint("merge").repartition(parts, "digest"), "digest")
+    texts = texts.select(F.struct("lead", "digest").alias("class"), "text", "prints")
+    cells = texts.mapInArrow(_segments(least), f"key bigint, class struct<lead: {kind}, digest: binary>, off int, starts array<bigint>, text string")
+    cells = materialise(cells.withColumn("lo", F.lit(least // 2 - least)).withColumn("hi", F.lit(0)).withColumn("shift", F.lit(0)), "segments")
+    done = None
+    while True:
+        sizes = cells.select("key", "hi", "lo", F.md5(F.col("text").cast("binary")).alias("s")).groupBy("key", "s").agg(F.max(F.col("hi") - F.col("lo")).alias("wide"))
+        hot = materialise(sizes.groupBy("key").agg(F.count("*").alias("n"), F.max("wide").alias("wide")).where((F.col("n") > HOT) & (F.col("wide") > 0)).select("key"), "hot")
+        cold = cells if hot.isEmpty() else cells.join(hot, "key", "left_anti")
+        done = cold if done is None else done.unionByName(cold)
+        if hot.isEmpty():
+            break
+        cells = materialise(_halves(cells.join(hot, "key"), least), "segments")
+    cells = done.withColumn("seg", F.unhex(F.md5(F.col("text").cast("binary"))))
+    each = cells.groupBy("key", "seg").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.first("text").alias("text"))  # equal ones meet in the tasks first
+    w = Window.partitionBy("key")  # of at most HOT rows
+    each = each.withColumn("n", F.count("*").over(w)).withColumn("_lo", F.min("lo").over(w)).withColumn("_hi", F.max("hi").over(w)).where("_lo < _hi").drop("_lo", "_hi")
+    return members, cells.select("key", "seg", "class", "starts", "shift"), materialise(each, "different-segments")
+
+
+def _by_shard(segments: DataFrame) -> DataFrame:
+    chars = segments.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows = segments.where("n > 1").select("key", "seg", "text", "lo", "hi")
+    return rows.repartition(_parts(segments, chars), "key").sortWithinPartitions("key", "seg")
 
 
 def shared_between(docs: DataFrame, key: str, text: str, least: int = LEAST, shard_chars: int = SHARD_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): members is class, id, n_chars of every text of at least `least` code points; pairs is class_a, class_b
-    (class_a < class_b), spans_a, spans_b: the spans of each that stand in the other.
+    """(members, pairs): members is digest, id, n_chars of every text of at least `least` code points; pairs is class_a, class_b: the digests of
+    each two texts that have a stretch of so many code points in common, once.
 
     A class is a text (its 128-bit digest); texts of one class share everything. Shorter, empty and null texts can share nothing and
     are in no class. Null keys are ignored; a repeated key with the same text counts once. Other columns are not read.
     """
-    members, work = _routed(docs, key, text, least, shard_chars)
-    pairs = work.mapInArrow(_match(least, True), f"class_a string, class_b string, spans_a {_SPAN_SQL}, spans_b {_SPAN_SQL}")
+    members, cells, segments = _cut(docs, key, text, least)
+    found = materialise(_by_shard(segments).mapInArrow(_match(least, shard_chars), "key bigint, seg_a binary, seg_b binary"), "matched")
+    # the segments of one passage mostly stand in the same texts: pairs are made once for each different set of texts, not for each segment
+    held = cells.join(segments.select("key", "seg"), ["key", "seg"]).select("key", "seg", F.col("class.digest").alias("digest")).distinct()
+    held = materialise(held, "held")
+    name = F.struct(F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"), F.count("*").alias("n"))
+    sets = materialise(held.groupBy("key", "seg").agg(name.alias("set")), "sets")
+    texts = materialise(held.join(sets, ["key", "seg"]).select("set", "digest").distinct(), "set-texts")
+    named = lambda x: sets.select("key", F.col("seg").alias(f"seg_{x}"), F.col("set").alias(f"set_{x}"))
+    across = found.join(named("a"), ["key", "seg_a"]).join(named("b"), ["key", "seg_b"]).select("set_a", "set_b")
+    within = sets.where("set.n > 1").select(F.col("set").alias("set_a"), F.col("set").alias("set_b"))
+    links = across.unionByName(within).distinct()
+    pairs = links.join(texts.toDF("set_a", "x"), "set_a").join(texts.toDF("set_b", "y"), "set_b").where("x <> y")
+    pairs = pairs.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b")).distinct()
     return members, materialise(pairs, "shared-pairs")
 
 
+def _covered(docs: DataFrame, key: str, text: str, least: int, shard_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(members, spans): spans is digest, start, end, earlier: the parts of each text that stand in another one, and whether in one with a smaller id."""
+    members, cells, segments = _cut(docs, key, text, least)
+    found = _by_shard(segments).mapInArrow(_cover(least, shard_chars), f"key bigint, seg binary, other {_SPAN_SQL}, earlier {_SPAN_SQL}")
+    found = materialise(found, "covered")
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.length("text").cast("bigint").alias("end")))
+    own = segments.select("key", "seg", "lo", "hi", whole.alias("whole")).join(found, ["key", "seg"], "left")
+    rows = cells.join(own, ["key", "seg"])
+    none = F.array().cast(_SPAN_SQL)
+    other = F.when(F.col("lo") < F.col("hi"), F.col("whole")).otherwise(F.coalesce("other", none))
+    earlier = F.when(F.col("lo") < F.col("class"), F.col("whole")).otherwise(F.coalesce("earlier", none))
+    tag = lambda spans, e: F.transform(spans, lambda s: F.named_struct(F.lit("start"), s["start"], F.lit("end"), s["end"], F.lit("earlier"), F.lit(e)))
+    tagged = F.concat(tag(other, False), tag(earlier, True))
+    spans = rows.select("class.*", F.explode("starts").alias("at"), "shift", tagged.alias("spans")).select("digest", (F.col("at") + F.col("shift")).alias("at"), F.inline("spans"))
+    return members, spans.select("digest", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"), "earlier").distinct()
+
+
 def coverage(docs: DataFrame, key: str, text: str, least: int = LEAST, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """id, n_chars, n_shared, copies: per text with shared stretches, how many of its characters stand in other rows' texts too, and how
-    many rows have just this text. Makes no pairs: a passage that many texts share costs each of them one row per shard. Nulls and repeats as above."""
-    members, work = _routed(docs, key, text, least, shard_chars)
-    spans = merged(work.mapInArrow(_match(least, False), f"class string, spans {_SPAN_SQL}").select("class", F.inline("spans")), "class")
-    covered = spans.groupBy("class").agg(F.sum(F.col("end") - F.col("start")).alias("n_part"))
-    copies = members.groupBy("class").agg(F.count("*").alias("copies"))
-    out = members.join(copies, "class").join(covered, "class", "left").where("n_part IS NOT NULL OR copies > 1")
+    many rows have just this text. Makes no pairs of texts. Nulls and repeats as above."""
+    members, spans = _covered(docs, key, text, least, shard_chars)
+    covered = merged(spans.where("NOT earlier"), "digest").groupBy("digest").agg(F.sum(F.col("end") - F.col("start")).alias("n_part"))
+    copies = members.groupBy("digest").agg(F.count("*").alias("copies"))
+    out = members.join(copies, "digest").join(covered, "digest", "left").where("n_part IS NOT NULL OR copies > 1")
     n = F.when(F.col("copies") > 1, F.col("n_chars").cast("bigint")).otherwise(F.col("n_part"))
     return out.select("id", "n_chars", n.alias("n_shared"), "copies")
+
+
+def removed(docs: DataFrame, key: str, text: str, least: int = LEAST, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """id, n_removed, text of every text that loses something: the maximal spans of stretches of `least` code points that stand in the text of a row with
+    a smaller id are taken out, so the first text with a passage keeps it; a later copy of a whole text loses all. Nulls and repeats as above."""
+    members, spans = _covered(docs, key, text, least, shard_chars)
+    lead = members.groupBy("digest").agg(F.min("id").alias("lead"))
+    cut = merged(spans.where("earlier"), "digest").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))  # of one text
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_chars").cast("bigint").alias("end")))
+    cut = members.join(lead, "digest").join(cut, "digest", "left").select("id", "digest", F.when(F.col("id") > F.col("lead"), whole).otherwise(F.col("spans")).alias("spans"))
+    cut = broadcastable(materialise(cut.where("spans IS NOT NULL"), "spans-to-remove"))
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
+    hit = rows.join(cut, ["id", "digest"])
+    gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return hit.select("id", gone.alias("n_removed"), without(F.col("text"), F.col("spans")).alias("text")).dropDuplicates(["id", "text"])
