@@ -1,14 +1,16 @@
 """Evaluation passages inside training text.
 
-A generalised suffix automaton of the test items' words is built on the driver and broadcast; items of more than SHARD_CHARS characters in
-all are cut into shards of bounded size by their id's hash, each with an automaton of its own, so what is broadcast doesn't grow with them.
-Documents are streamed through it once: their words become numbers of the items' vocabulary, stretches whose neighbouring words
-are nowhere neighbours in an item can't match and are passed over (vectorised, without loss), and in the rest the longest matching lengths are tracked.
-A match is a stretch of `min_words` words, or all words of a shorter item. Nothing is exchanged between executors.
+The items are cut into shards of bounded size, each with a generalised suffix automaton of its items' words, built in the tasks and written
+to the shared folder. The corpus is read once, whatever the number of shards: a bitmap of bounded size over the items' stretches of
+GRAM words is broadcast, and a document can hold `min_words` words of an item only where so many neighbouring stretches are all in the bitmap
+(vectorised, without loss). What is left, a few documents, is looked up exactly by its stretches' hashes and goes to just the
+shards that hold them, where its words are streamed through the automaton and the longest matching lengths are tracked.
+A match is a stretch of `min_words` words, or all words of a shorter item. Items longer than a shard are cut into parts that overlap by a match.
 """
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,13 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise, small, spread
+from ..session import broadcastable, materialise, spread
 from .automaton import SuffixAutomaton
-from .words import WORD
+from .words import WORD, WordHashes, mix
 
-MIN_WORDS, SHARD_CHARS = 16, 4_000_000
+MIN_WORDS, SHARD_CHARS, GRAM = 16, 400_000, 8
 #: Limits beyond which a document is trimmed or dropped: words of a leaked span, and share of the document's characters.
 MAX_SPAN, MAX_COVERAGE = 16, 0.5
+#: Bits of the bitmap per stretch, and the powers of two between which its size lies (32 MiB at most).
+BITS_PER_GRAM, LEAST_BITS, MOST_BITS = 32, 16, 28
+#: Documents that one set-up of a shard's automaton is for.
+SALT_ROWS = 500
 _BITS = 22
 
 
@@ -35,7 +41,7 @@ def normalised(text: str) -> str:
 class ItemIndex:
     """The automaton of a set of items and what is needed to read texts quickly."""
 
-    def __init__(self, items: list[tuple[int, str]], min_words: int):
+    def __init__(self, items: list[tuple[int, list[str]]], min_words: int):
         self.min_words = min_words
         self.vocabulary: dict[str, int] = {}
         self.automaton = SuffixAutomaton()
@@ -43,8 +49,7 @@ class ItemIndex:
         self.ids: list[int] = []
         self.least = min_words
         sequences = []
-        for item_id, text in items:
-            words = WORD.findall(normalised(text or ""))
+        for item_id, words in items:
             if words:
                 sequences.append([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words])
                 self.ids.append(item_id)
@@ -138,51 +143,175 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
     return out
 
 
-def _scan(shared, kind: pa.DataType | None = None):
+_WEIGHTS = mix(np.arange(501, 501 + GRAM, dtype=np.uint64)) | np.uint64(1)
+
+
+def _grams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k consecutive words (1 to GRAM) of word hashes."""
+    n = len(h) - k + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    out = np.full(n, k, np.uint64)
+    for i in range(k):
+        out += h[i : i + n] * _WEIGHTS[i]
+    return mix(out)
+
+
+_SHORT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _parts(min_words: int, shard_chars: int):
+    """Items as words, in parts of at most about shard_chars characters, with the hashes by which documents are routed: of a whole item's stretches all, of an
+    item shorter than a match its first (length is that stretch's words, 0 for the others)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: ItemIndex = shared.value
+        hashes, k = WordHashes(), min(GRAM, min_words)
         for b in batches:
-            keys, items, starts, ends, words_of = [], [], [], [], []
-            for n, value in enumerate(b.column(1)):
-                text = value.as_py()
-                words = WORD.findall(normalised(text))
-                if not (found := index.find(words)):
+            rows = []
+            for item, value in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = WORD.findall(normalised(value.as_py()))
+                if not words:
                     continue
-                flat = [(o, s) for o, spans in found.items() for s in spans]
-                for (owner, span), (a, e) in zip(flat, original_spans(text, [s for _, s in flat]), strict=True):
-                    keys.append(n)
-                    items.append(index.ids[owner])
-                    starts.append(a)
-                    ends.append(e)
-                    words_of.append(span[1] - span[0])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(keys, pa.int64())), pa.array(items, pa.int64()), pa.array(words_of, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
-                ["doc_id", "item_id", "n_words", "start", "end"],
-            )
+                size = max(2 * min_words, shard_chars * len(words) // (sum(map(len, words)) + len(words)))
+                for n, a in enumerate(range(0, max(1, len(words) - min_words + 1), size)):
+                    part = words[a : a + size + min_words - 1]
+                    h = np.fromiter(map(hashes.__getitem__, part), np.uint64, len(part))
+                    if len(words) < min_words:
+                        length = min(len(words), k)
+                        rows.append((item, n, part, length, (_grams(h[:length], length) ^ _SHORT).view(np.int64)))
+                    else:
+                        rows.append((item, n, part, 0, np.unique(_grams(h, k)).view(np.int64)))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["item", "part", "words", "length", "grams"])
 
     return run
 
 
+def _build(min_words: int):
+    """Rows come by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda shard, held: pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([pickle.dumps(ItemIndex(held, min_words), 5)], pa.binary())], ["shard", "index"])
+        now, held = None, []
+        for b in batches:
+            for shard, item, words in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if shard != now and held:
+                    yield out(now, held)
+                    held = []
+                now = shard
+                held.append((item, words))
+        if held:
+            yield out(now, held)
+
+    return run
+
+
+def _suspects(shared, min_words: int):
+    """Documents that may hold a match, with the hashes of the stretches that say so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, log, lengths, whole = shared.value
+        bitmap = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").view(bool)
+        hashes, k, shift = WordHashes(), min(GRAM, min_words), np.uint64(64 - log)
+        need = min_words - k + 1
+        for b in batches:
+            rows, found = [], []
+            for n, value in enumerate(b.column(1)):
+                words = WORD.findall(normalised(value.as_py()))
+                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                hits = []
+                if whole and len(words) >= min_words:
+                    g = _grams(h, k)
+                    step = np.flatnonzero(np.diff(np.concatenate(([0], bitmap[g >> shift].view(np.int8), [0]))))
+                    hits = [g[i:j] for i, j in zip(step[::2].tolist(), step[1::2].tolist(), strict=True) if j - i >= need]
+                for length in lengths:
+                    g = _grams(h, length) ^ _SHORT
+                    hits.append(g[bitmap[g >> shift]])
+                if any(map(len, hits)):
+                    rows.append(n)
+                    found.append(np.unique(np.concatenate(hits)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in b.columns), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text", "hits"])
+
+    return run
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by shard, in it the automaton before the texts to stream."""
+    index: ItemIndex | None = None
+    for b in batches:
+        digests, items, starts, ends, words_of = [], [], [], [], []
+        for i in range(b.num_rows):
+            if (data := b.column(2)[i].as_py()) is not None:
+                index = pickle.loads(data)
+                continue
+            text = b.column(1)[i].as_py()
+            if not (found := index.find(WORD.findall(normalised(text)))):
+                continue
+            flat = [(o, s) for o, spans in found.items() for s in spans]
+            for (owner, span), (a, e) in zip(flat, original_spans(text, [s for _, s in flat]), strict=True):
+                digests.append(b.column(0)[i].as_py())
+                items.append(index.ids[owner])
+                starts.append(a)
+                ends.append(e)
+                words_of.append(span[1] - span[0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(digests, pa.binary()), pa.array(items, pa.int64()), pa.array(words_of, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
+            ["digest", "item_id", "n_words", "start", "end"],
+        )
+
+
+def _bitmap(grams: DataFrame) -> tuple[bytes, int]:
+    """(bits, log2 of their number) of hashes, by their highest bits: put together in the tasks, bounded on the driver."""
+    n = grams.count()
+    log = min(MOST_BITS, max(LEAST_BITS, (n * BITS_PER_GRAM).bit_length()))
+    place = F.shiftrightunsigned("gram", 64 - log)
+    size = (1 << log) // 8
+    bits = bytearray(size)
+    rows = grams.groupBy(F.bitmap_bucket_number(place + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))
+    for r in rows.toLocalIterator():
+        at = (r.bucket - 1) * 4096
+        bits[at : at + 4096] = r.bits[: size - at]
+    return bytes(bits), log
+
+
 def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = MIN_WORDS, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """doc_id, item_id, n_words, start, end: the spans (in characters of the text as it stands) that documents share with items.
 
-    Texts and items are compared in Unicode form NFKC, lower-cased, as words. A span has at least min_words words or all words of a shorter item.
-    Null, empty or wordless texts and items match nothing; null item ids are ignored; null doc_ids stay null; repeated
+    Texts and items are compared in Unicode form NFKC, lower-cased, as words. A span has at least min_words words or all words of a shorter item; one
+    that crosses the parts of an item longer than a shard comes out in pieces that overlap. Null, empty or wordless texts and items match nothing; null item ids are ignored; null doc_ids stay null; repeated
     rows give their spans again. Items with equal texts are all reported. Other columns are not read.
     """
-    spark = docs.sparkSession
-    items = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).alias("i"), F.col(item_text).alias("t"))
-    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
+    sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs, out = spread(docs, "doc_id"), None
-    for shard in range(shards):
-        mine = items if shards == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == shard)
-        index = ItemIndex([tuple(r) for r in mine.distinct().orderBy("i", "t").collect()], min_words)  # at most about shard_chars characters
-        leaks = docs.mapInArrow(_scan(spark.sparkContext.broadcast(index)), f"doc_id {kind}, item_id bigint, n_words int, start bigint, end bigint")
-        out = leaks if out is None else out.unionByName(leaks)
-    return out
+    items = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).cast("bigint"), F.col(item_text)).distinct()
+    parts = items.mapInArrow(_parts(min_words, shard_chars), "item bigint, part int, words array<string>, length int, grams array<bigint>")
+    parts = materialise(parts, "item-parts")
+    chars = parts.agg(F.sum(F.aggregate("words", F.lit(0), lambda n, w: n + F.length(w) + 1).cast("bigint"))).first()[0] or 0
+    shards = max(1, -(-chars // shard_chars))
+    parts = parts.withColumn("shard", F.pmod(F.xxhash64("item", "part"), F.lit(shards)).cast("int"))
+    grams = materialise(parts.select(F.explode("grams").alias("gram"), "shard").distinct(), "item-grams")
+    built = parts.select("shard", "item", "words").repartition(min(shards, 4 * sc.defaultParallelism), "shard").sortWithinPartitions("shard", "item")
+    built = materialise(built.mapInArrow(_build(min_words), "shard int, index binary"), "item-indexes")
+    lengths = sorted(r.length for r in parts.select("length").distinct().collect())  # at most GRAM + 1
+
+    shared = sc.broadcast((*_bitmap(grams), [n for n in lengths if n], 0 in lengths))
+    found = spread(docs, "doc_id").mapInArrow(_suspects(shared, min_words), f"doc_id {kind}, text string, hits array<bigint>")
+    found = materialise(found.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary")))), "suspects")
+    shared.destroy()
+    routes = found.select("digest", F.explode("hits").alias("gram")).join(grams, "gram").select("digest", "shard").distinct()
+    routes = materialise(routes, "leak-routes")
+    salts = routes.groupBy("shard").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
+    salts = materialise(salts, "leak-salts")
+    tasks = min(salts.agg(F.sum("salts")).first()[0] or 1, 20_000)
+    salt = lambda c: F.pmod(F.xxhash64(c), F.col("salts")).cast("int")
+    texts = found.select("digest", "text").dropDuplicates(["digest"])
+    none = F.lit(None)
+    streams = routes.join(salts, "shard").join(texts, "digest").select("shard", salt("digest").alias("salt"), "digest", "text", none.cast("binary").alias("index"))
+    indexes = built.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), none.cast("binary").alias("digest"), none.cast("string").alias("text"), "index")
+    work = indexes.unionByName(streams).repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", F.asc_nulls_first("digest"))
+    spans = work.select("digest", "text", "index").mapInArrow(_scan, "digest binary, item_id bigint, n_words int, start bigint, end bigint")
+    return found.select("doc_id", "digest").join(spans, "digest").drop("digest")
 
 
 def merged(spans: DataFrame, key: str) -> DataFrame:
@@ -202,15 +331,15 @@ def without(text: Column, spans: Column) -> Column:
     return F.array_join(kept, "")
 
 
-def decontaminated(docs: DataFrame, key: str, text: str, leaks: DataFrame, max_span: int = MAX_SPAN, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def decontaminated(docs: DataFrame, key: str, text: str, leaks: DataFrame, max_span: int = MAX_SPAN, max_coverage: float = MAX_COVERAGE, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, action, n_removed, coverage, text of every affected document.
 
-    Spans of at least max_span words (or whole shorter items) are removed; a document of whose characters they cover more than
-    max_coverage is dropped (text null). Keys must be distinct; documents without leaks don't come out.
+    Spans of at least max_span words are removed, and whole items of fewer than min_words (the least match of find_leaks, so that shorter spans are
+    just these); a document of whose characters they cover more than max_coverage is dropped (text null). Keys must be distinct; documents without leaks don't come out.
     """
-    long = leaks.where((F.col("n_words") >= max_span) | (F.col("n_words") < MIN_WORDS))
+    long = leaks.where((F.col("n_words") >= max_span) | (F.col("n_words") < min_words))
     spans = merged(long, "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    spans = small(materialise(spans, "leak-spans"), 400)
+    spans = broadcastable(materialise(spans, "leak-spans"))
     hit = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(spans, "doc_id")
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda x, s: x + s["end"] - s["start"])
     out = hit.select("doc_id", removed.alias("n_removed"), (removed / F.length("text")).alias("coverage"), without(F.col("text"), F.col("spans")).alias("text"))

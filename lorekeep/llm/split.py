@@ -9,6 +9,7 @@ with an overlap of 200 to 400 bytes, shifted to whole characters and to a natura
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,36 +38,44 @@ def _spans(cuts: list[int], a: int, b: int) -> list[Span]:
 
 
 class _Tree:
+    """Headings, fences and list items are parsed once and looked up by position, so a node costs what lies in it."""
+
     def __init__(self, data: bytes):
         self.data = data
         self.front = m.end() if (m := _FRONT.match(data)) else 0
-        self.fences: list[Span] = []
-        marks = [m.start() for m in _FENCE.finditer(data, self.front)]
-        ends = [m.end() for m in _FENCE.finditer(data, self.front)]
-        for i in range(0, len(marks), 2):
-            self.fences.append((marks[i], ends[i + 1] + 1 if i + 1 < len(marks) else len(data)))
-        self.headings = [(m.start(), len(m[1])) for m in _HEADING.finditer(data, self.front) if not self._fenced(m.start())]
+        marks = [m.span() for m in _FENCE.finditer(data, self.front)]
+        self.opened = [a for a, _ in marks[::2]]
+        self.closed = [b + 1 for _, b in marks[1::2]] + [len(data)] * (len(marks) % 2)
+        self.fence_ends = sorted(self.opened + self.closed)
+        headings = [(m.start(), len(m[1])) for m in _HEADING.finditer(data, self.front) if not self._fenced(m.start())]
+        self.heading_at, self.heading_level = [at for at, _ in headings], [n for _, n in headings]
+        items = [(m.start(), len(m[1].expandtabs(4))) for m in _ITEM.finditer(data, self.front) if not self._fenced(m.start())]
+        self.item_at, self.item_indent = [at for at, _ in items], [n for _, n in items]
+        #: The longest stretch without a natural boundary that had to be cut at characters, in bytes.
+        self.cut_run = 0
 
     def _fenced(self, at: int) -> bool:
-        return any(a <= at < b for a, b in self.fences)
+        i = bisect_right(self.opened, at) - 1
+        return i >= 0 and at < self.closed[i]
 
     def children(self, a: int, b: int, kind: str) -> tuple[list[Span], str]:
         """The next finer parts of the span, and their kind. The kinds in order: section 1 to 6, block, item, line, sentence, word, char."""
         while True:
             if kind.startswith("section"):
                 level = int(kind[7:])
-                cuts = [at for at, n in self.headings if n <= level]
+                first, last = bisect_left(self.heading_at, a), bisect_left(self.heading_at, b)
+                cuts = [self.heading_at[i] for i in range(first, last) if self.heading_level[i] <= level]
                 cuts.append(self.front)
                 kind = f"section{level + 1}" if level < 6 else "block"
             elif kind == "block":
                 cuts = [m.end() for m in _BLANK.finditer(self.data, a, b) if not self._fenced(m.end() - 1)]
-                cuts += [x for f in self.fences for x in f]
+                cuts += self.fence_ends[bisect_left(self.fence_ends, a) : bisect_left(self.fence_ends, b)]
                 kind = "item"
             elif kind == "item":
-                items = [(len(m[1].expandtabs(4)), m.start()) for m in _ITEM.finditer(self.data, a, b) if not self._fenced(m.start())]
-                inner = [x for x in items if x[1] > a] if items and items[0][1] == a else items
-                least = min((n for n, _ in inner), default=0)
-                cuts = [at for n, at in inner if n == least]
+                first, last = bisect_left(self.item_at, a), bisect_left(self.item_at, b)
+                first += first < last and self.item_at[first] == a
+                least = min(self.item_indent[first:last], default=0)
+                cuts = [self.item_at[i] for i in range(first, last) if self.item_indent[i] == least]
                 kind = "item" if len(_spans(cuts, a, b)) > 1 else "line"
             elif kind == "line":
                 cuts, kind = [m.end() for m in _LINE.finditer(self.data, a, b)], "sentence"
@@ -95,6 +104,7 @@ class _Tree:
             elif b - a <= cap:
                 out[-1].append((a, b))
             elif kind == "char":
+                self.cut_run = max(self.cut_run, max(map(len, _GAP.split(self.data[a:b]))))
                 while b - a > cap:
                     cut = self.start_of_char(a + cap, -1)
                     cut = cut if cut > a else a + cap  # not UTF-8: can't come from a string
@@ -122,7 +132,7 @@ class _Tree:
         before = self.data[max(0, at - 8) : at]
         if at == len(self.data):
             return "end"
-        if any(at == h for h, _ in self.headings):
+        if (i := bisect_left(self.heading_at, at)) < len(self.heading_at) and self.heading_at[i] == at:
             return "heading"
         if re.search(rb"\n[ \t]*\r?\n$", before):
             return "block"
@@ -141,11 +151,11 @@ class _Tree:
         return self.start_of_char(lo, 1)
 
 
-def split_text(text: str, limit: int = LIMIT, least: int = LEAST_OVERLAP, most: int = MOST_OVERLAP) -> list[tuple[int, int, int, str]]:
-    """(start of the new bytes, end, overlap in bytes, kind of the cut at the end) per piece. A text within the limit is one piece."""
-    data = text.encode("utf-8", "surrogatepass")
+def split_bytes(data: bytes, limit: int = LIMIT, least: int = LEAST_OVERLAP, most: int = MOST_OVERLAP) -> tuple[list[tuple[int, int, int, str]], str]:
+    """(start of the new bytes, end, overlap in bytes, kind of the cut at the end) per piece, and `forced` if the tree came down to a stretch
+    longer than the limit without a natural boundary, else `natural`. A text within the limit is one piece."""
     if len(data) <= limit:
-        return [(0, len(data), 0, "end")]
+        return [(0, len(data), 0, "end")], "natural"
     tree = _Tree(data)
     spans = tree.pack(0, len(data), limit - least - 4)
     if spans[0][1] < least:  # too short to lend an overlap; the first piece has none itself, so both fit in it
@@ -155,12 +165,7 @@ def split_text(text: str, limit: int = LIMIT, least: int = LEAST_OVERLAP, most:
         at = tree.overlap_start(max(a - most, b - limit, before), a - least) if i else a
         pieces.append((a, b, a - at, tree.kind_of_cut(b)))
         before = at
-    return pieces
-
-
-def longest_run(text: str) -> int:
-    """Bytes of the longest stretch without a natural boundary."""
-    return max(map(len, _GAP.split(text.encode("utf-8", "surrogatepass"))))
+    return pieces, "forced" if tree.cut_run > limit else "natural"
 
 
 _OUT = "piece int, start bigint, end bigint, overlap int, boundary string, cut string, text string"
@@ -170,9 +175,8 @@ def _split(limit: int, least: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, value in zip(b.column(0), b.column(1), strict=True):  # a row at a time: a text may be very long
-                text = value.as_py()
-                pieces, data = split_text(text, limit, least, most), text.encode("utf-8", "surrogatepass")
-                cut = "forced" if longest_run(text) > limit else "natural"
+                data = value.as_py().encode("utf-8", "surrogatepass")
+                pieces, cut = split_bytes(data, limit, least, most)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([key.as_py()] * len(pieces), b.column(0).type),

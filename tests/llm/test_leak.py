@@ -29,8 +29,8 @@ def brute(docs, items, k):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=12), min_size=1, max_size=6), st.lists(st.sampled_from("abcd"), max_size=30), st.integers(1, 6))
 def test_index_equals_brute_force(items, text, k):
+    index = ItemIndex(list(enumerate(items)), k)
     items = [(i, " ".join(x)) for i, x in enumerate(items)]
-    index = ItemIndex(items, k)
     assert {(1, index.ids[o]) for o in index.find(text)} == brute([(1, " ".join(text))], items, k)
 
 
@@ -56,9 +56,9 @@ def test_documents(spark):
     docs += [(200, None, "x"), (201, "", "x"), (202, "说当会话替换稀疏的引擎时了", "x"), (203, "see full width FILE here", "x"), (None, items[4][1], "x"), (100, "again " + items[0][1], "x")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string")
     it = spark.createDataFrame(items, "item_id bigint, ground_truth string")
-    for shard_chars in (4_000_000, 300):
-        got = {(r.doc_id, r.item_id) for r in find_leaks(df, "doc_id", "text", it, "item_id", "ground_truth", 16, shard_chars).collect()}
-        assert got == brute(docs, items, 16)
+    for shard_chars, least in ((400_000, 16), (300, 16), (60, 16), (300, 5)):
+        got = {(r.doc_id, r.item_id) for r in find_leaks(df, "doc_id", "text", it, "item_id", "ground_truth", least, shard_chars).collect()}
+        assert got == brute(docs, items, least)
     assert find_leaks(df.limit(0), "doc_id", "text", it, "item_id", "ground_truth").count() == 0
     assert find_leaks(df, "doc_id", "text", it.limit(0), "item_id", "ground_truth").count() == 0
 
@@ -80,5 +80,7 @@ def test_removal(spark):
     out = {r.doc_id: r for r in decontaminated(docs, "doc_id", "text", leaks).collect()}
     assert out[1].text == text[:14] + text[28:] and out[1].action == "trim" and out[1].n_removed == 14
     assert out[3].text is None and out[3].action == "drop" and set(out) == {1, 3}
+    assert {r.doc_id for r in decontaminated(docs, "doc_id", "text", leaks, min_words=2).collect()} == set()  # spans of a match's length below the limit stay
+    assert {r.doc_id for r in decontaminated(docs, "doc_id", "text", leaks, max_span=2, min_words=2).collect()} == {1, 3}
     spans = spark.createDataFrame([("k", 0, 5), ("k", 5, 7), ("k", 1, 2), ("k", 9, 10), (None, 1, 2)], "k string, start bigint, end bigint")
     assert {tuple(r) for r in merged(spans, "k").collect()} == {("k", 0, 7), ("k", 9, 10), (None, 1, 2)}

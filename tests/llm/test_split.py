@@ -1,16 +1,20 @@
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lorekeep.llm.split import longest_run, split_oversized, split_text
+from lorekeep.llm.split import split_bytes, split_oversized
 
 PARTS = ["# Heading\n", "## Sub\n\n", "- item one\n", "  - nested item\n", "1. first\n", "```\ncode\n```\n", "word ", "sentence. ", "句子。", "字" * 40, "x" * 150, "\r\n", "\n\n", "| a | b |\n", "é" * 90, "---\ntitle: t\n---\n", "🙂" * 30]
 
 
 def check(text, limit, least, most):
     data = text.encode()
-    pieces = split_text(text, limit, least, most)
+    pieces, cut = split_bytes(data, limit, least, most)
+    runs = re.split(rb"[ \t\r\n]|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f", data)
+    assert cut == ("forced" if max(map(len, runs)) > limit else "natural")
     assert pieces[0][0] == 0 and pieces[0][2] == 0 and pieces[-1][1] == len(data)
     before = 0
     for i, (a, b, overlap, _) in enumerate(pieces):
@@ -48,9 +52,12 @@ def test_deep_nesting_and_long_text():
     check("a" * 300_000, 5000, 200, 400)
 
 
-def test_longest_run():
-    assert longest_run("ab cd\r\nefg。字字！x？") == 6
-    assert longest_run("") == 0
+@pytest.mark.parametrize("part", ["```\ncode\n```\n", "# H\n", "- item\n", "```\n# no heading\n- no item\n\n```\n## H\n- item\n\n"])
+def test_time_grows_with_size(part):
+    data = (part * (10_000_000 // len(part))).encode()
+    begun = time.monotonic()
+    pieces, _ = split_bytes(data)
+    assert pieces[-1][1] == len(data) and time.monotonic() - begun < 30
 
 
 def test_rows(spark):
