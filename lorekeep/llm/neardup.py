@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise, small, spread
+from ..session import broadcastable, materialise, spread
 from .words import WordHashes, mix, shingles
 
 ROWS, BANDS, B, SLACK = 5, 100, 2, 0.15
@@ -65,7 +65,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weights = mix(np.arange(11, 11 + ROWS, dtype=np.uint64)) | np.uint64(1)
     salt = mix(np.arange(1001, 1001 + BANDS, dtype=np.uint64))
     for b in batches:
-        ids, n, keys, bands, sigs = [], [], [], [], []
+        ids, n, keys, checks, bands, sigs = [], [], [], [], [], []
         for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             h = shingles(text.as_py() or "", hashes)
             if not len(h):
@@ -73,57 +73,71 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = minima(h, xors, odds)
             ids.append(key)
             n.append(len(h))
-            keys.append(_class_key(h))
+            keys.append(_class_key(h, 1))
+            checks.append(_class_key(h, 2))
             bands.append(mix((m.reshape(BANDS, ROWS).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) ^ salt))
             sigs.append(pack(m))
         if ids:
-            k = pa.array(np.array(keys, np.uint64).view(np.int64))
-            columns = [pa.array(ids, b.column(0).type), pa.array(n, pa.int32()), k, _lists(bands, BANDS), _lists(sigs, _WORDS)]
-            yield pa.record_batch(columns, ["id", "n", "k", "bands", "sig"])
+            k, k2 = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, checks))
+            columns = [pa.array(ids, b.column(0).type), pa.array(n, pa.int32()), k, k2, _lists(bands, BANDS), _lists(sigs, _WORDS)]
+            yield pa.record_batch(columns, ["id", "n", "k", "k2", "bands", "sig"])
 
 
-def _class_key(h: np.ndarray) -> np.uint64:
-    return mix(mix(h + np.uint64(1)).sum(dtype=np.uint64, keepdims=True))[0]
+def _class_key(h: np.ndarray, salt: int) -> np.uint64:
+    return mix(mix(h + np.uint64(salt)).sum(dtype=np.uint64, keepdims=True))[0]
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """k, sh: the sorted shingle hashes of the texts that are of class k."""
+    """k, sh: the sorted shingle hashes of the texts whose set has the second hash k2."""
     hashes = WordHashes()
     for b in batches:
-        sets = [shingles(t.as_py() or "", hashes) for t in b.column(1)]
-        own = [len(h) > 0 and int(_class_key(h).view(np.int64)) == k for h, k in zip(sets, b.column(0).to_pylist(), strict=True)]
+        sets = [shingles(t.as_py() or "", hashes) for t in b.column(2)]
+        own = [len(h) > 0 and int(_class_key(h, 2).view(np.int64)) == k2 for h, k2 in zip(sets, b.column(1).to_pylist(), strict=True)]
         out = pa.record_batch([b.column(0), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["k", "sh"])
         yield out.filter(pa.array(own, pa.bool_()))
 
 
+def told_apart(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signed, classes): the rows with a k of its own for each (k, k2), and per k its least id, its rows and its k2."""
+    classes = lambda df: materialise(df.groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("k2").alias("k2"), F.max("k2").alias("_k2")), "classes")
+    per_class = classes(signed)
+    clashes = per_class.where("k2 <> _k2").select("k", F.lit(True).alias("clash"))
+    if not clashes.isEmpty():  # a few in 10^10 sets
+        renamed = F.when(F.col("clash"), F.xxhash64("k", "k2")).otherwise(F.col("k"))
+        signed = materialise(signed.join(clashes, "k", "left").withColumn("k", renamed).drop("clash"), "signatures")
+        per_class = classes(signed)
+    return signed, per_class.drop("_k2")
+
+
 def similar_texts(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members is k, id, n (shingles); pairs is k_a, k_b (k_a < k_b), similarity, all exact.
 
-    k numbers a class of texts with equal shingle sets (a 64-bit hash of the set). Texts of fewer than three words, empty and
+    k numbers a class of texts with equal shingle sets, told apart by 128 bits (two hashes of the set; where two sets have one k, both get
+    another). Texts of fewer than three words, empty and
     null ones have no shingles and are in no class. Rows with a null key are ignored; a repeated key with the same text
     counts once. Further columns are not read.
     """
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     kind = docs.schema["id"].dataType.simpleString()
-    signed = spread(docs, "id").mapInArrow(_sign, f"id {kind}, n int, k bigint, bands array<bigint>, sig array<bigint>")
+    signed = spread(docs, "id").mapInArrow(_sign, f"id {kind}, n int, k bigint, k2 bigint, bands array<bigint>, sig array<bigint>")
     signed = materialise(signed, "signatures")
+    signed, per_class = told_apart(signed)
     members = signed.select("k", "id", "n").distinct()
-    classes = signed.groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     # Of a class of several rows only the representative's row is banded.
-    copied = small(materialise(classes.where("copies > 1").select("k", F.col("id").alias("rep")), "copied"), 120)
+    copied = broadcastable(materialise(per_class.where("copies > 1").select("k", F.col("id").alias("rep")), "copied"))
     reps = signed.join(copied, "k", "left").where(F.col("rep").isNull() | (F.col("id") == F.col("rep")))
     banded = reps.select(F.explode("bands").alias("band"), "k")
     met = banded.groupBy("band").agg(F.min("k").alias("k_a"), F.max("k").alias("k_b"), F.count("*").alias("classes")).where("k_a < k_b")
     met = materialise(met, "bands-met")
     twos = met.where("classes = 2").select("k_a", "k_b")
-    many = banded.join(small(met.where("classes > 2").select("band"), 8), "band")
+    many = banded.join(broadcastable(met.where("classes > 2").select("band")), "band")
     many = materialise(many, "bands-many")
     more = many.toDF("band", "k_a").join(many.toDF("band", "k_b"), "band").where("k_a < k_b").select("k_a", "k_b")
     pairs = materialise(twos.unionByName(more).distinct(), "candidates")
 
     sigs = signed.select("k", *[F.col("sig")[i].alias(f"s{i}") for i in range(_WORDS)])
     wanted = pairs.select(F.explode(F.array("k_a", "k_b")).alias("k")).distinct()
-    wanted = small(materialise(wanted, "candidate-keys"), 8)
+    wanted = broadcastable(materialise(wanted, "candidate-keys"))
     sigs = materialise(sigs.join(wanted, "k").dropDuplicates(["k"]), "candidate-signatures")
     side = lambda x: sigs.select(F.col("k").alias(f"k_{x}"), *[F.col(f"s{i}").alias(f"{x}{i}") for i in range(_WORDS)])
     unlike = F.lit(0)
@@ -135,12 +149,13 @@ def similar_texts(docs: DataFrame, key: str, text: str, threshold: float) -> tup
         unlike = unlike + F.bit_count(folded.bitwiseAND(F.lit(_LOW)))
     chance = 2.0**-B
     estimate = ((1 - unlike / _K) - chance) / (1 - chance)
+    # the estimate's standard deviation is at most 0.03, so a pair at the threshold falls below this with a probability under 10^-6
     near = pairs.join(side("a"), "k_a").join(side("b"), "k_b").where(estimate >= threshold - SLACK).select("k_a", "k_b")
     near = materialise(near, "near")
 
     keys = near.select(F.explode(F.array("k_a", "k_b")).alias("k")).distinct()
-    keys = small(materialise(keys.join(classes.select("k", "id"), "k"), "near-keys"), 120)
-    texts = docs.join(keys, "id").select("k", "text")
+    keys = broadcastable(materialise(keys.join(per_class.select("k", "k2", "id"), "k"), "near-keys"))
+    texts = docs.join(keys, "id").select("k", "k2", "text")
     sets = materialise(texts.mapInArrow(_shingle_sets, "k bigint, sh array<bigint>").dropDuplicates(["k"]), "near-sets")
     common = F.size(F.array_intersect("sh_a", "sh_b"))
     exact = (

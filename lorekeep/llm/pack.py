@@ -1,7 +1,7 @@
 """Filling containers of fixed capacity, by bounded-space online packing.
 
 Each partition keeps at most `open_bins` windows open. An item goes to the window in which it fits best; where it fits in none
-and all are open, the fullest is closed. What is open at the end of a partition is left over: the items of leftover windows are
+and all are open, the fullest is closed; a full one is closed at once. What is open at the end of a partition is left over: the items of leftover windows are
 gathered in fewer partitions, largest first, and packed again until one partition remains. No item order or
 size is collected; a level's leftovers are at most open_bins windows per partition of the level before. Every level is a written
 table, so a window that was closed once stays as it is if an executor is lost.
@@ -22,8 +22,6 @@ from ..session import materialise
 CAPACITY, OPEN_BINS = 8192, 1024
 #: Leftover windows that one task packs again, as a multiple of the open windows.
 MERGE = 16
-#: Windows with less room than this are closed at once (cut pieces end up to three bytes early, at a character).
-_FULL = 4
 
 
 class _Bins:
@@ -44,8 +42,8 @@ class _Bins:
             self.next += 1
             self.held[bin_] = []
         self.held[bin_].append(item)
-        if room - tokens < _FULL:
-            self._close(room - tokens, bin_)
+        if room == tokens:
+            self._close(0, bin_)
         else:
             insort(self.room, (room - tokens, bin_))
 

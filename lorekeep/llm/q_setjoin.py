@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .q_terms import TAGS
-from .setjoin import expand_pairs, record_sets, similar_sets
+from .setjoin import expand_pairs, record_sets, similar_between, similar_sets
 
 LEAST, THRESHOLD = 3, 0.6
 
@@ -32,6 +32,13 @@ def p3_links_per_page(spark, sf_dir):
     )
 
 
+def p3_between(spark, sf_dir):
+    """Raw files and wiki pages with similar tags: pairs between two tables."""
+    tags = table(spark, sf_dir, "document_tags")
+    raw, wiki = (record_sets(tags.where(F.col("doc_id").startswith(layer)), "doc_id", "tag", LEAST) for layer in ("raw/", "wiki/"))
+    return similar_between(raw, wiki, THRESHOLD).toDF("raw_id", "wiki_id")
+
+
 _SETS = f"""
 WITH {TAGS},
 d AS (SELECT DISTINCT doc_id, tag FROM tags WHERE doc_id IS NOT NULL AND tag <> ''),
@@ -42,9 +49,12 @@ pairs AS (SELECT doc_id_a, doc_id_b FROM o JOIN s sa ON sa.doc_id = doc_id_a JOI
           WHERE 10 * k >= 6 * (sa.n + sb.n - k))
 """
 
-QUERIES = {"p3_found": p3_found, "p3_links_per_page": p3_links_per_page}
+QUERIES = {"p3_found": p3_found, "p3_links_per_page": p3_links_per_page, "p3_between": p3_between}
 SQL = {
     "p3_found": _SETS + "SELECT doc_id_a, doc_id_b FROM pairs",
+    "p3_between": _SETS
+    + """, both_ways AS (SELECT doc_id_a AS raw_id, doc_id_b AS wiki_id FROM pairs UNION ALL SELECT doc_id_b, doc_id_a FROM pairs)
+SELECT * FROM both_ways WHERE raw_id LIKE 'raw/%' AND wiki_id LIKE 'wiki/%'""",
     "p3_links_per_page": _SETS
     + """, both_ways AS (SELECT doc_id_a AS doc_id, doc_id_b AS o FROM pairs UNION ALL SELECT doc_id_b, doc_id_a FROM pairs),
 sets AS (SELECT doc_id, string_agg(tag, chr(1) ORDER BY tag) AS tags FROM d JOIN s USING (doc_id) GROUP BY 1),

@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lorekeep.llm.setjoin import expand_pairs, record_sets, similar_sets
+from lorekeep.llm.setjoin import expand_pairs, record_sets, similar_between, similar_sets
 
 
 def brute(rows, least, threshold):
@@ -36,6 +36,19 @@ def test_random_sets_with_copies_and_dirt(spark):
         assert set(got) == brute(rows, least, threshold)
 
 
+def test_two_tables(spark):
+    rng = random.Random(6)
+    sets = lambda n: [(f"d{i % 90}", f"t{rng.randrange(9)}", "x") for i in range(n)]
+    rows = {"l": sets(500), "r": sets(400) + [("d0", t, "x") for t in "pqr"]}
+    rows["l"] += [(f"copy{i}", t, "x") for i in range(5) for t in "pqr"]
+    left, right = (record_sets(spark.createDataFrame(rows[x], "record string, tag string, side string"), "record", "tag", 2) for x in "lr")
+    got = [tuple(r) for r in similar_between(left, right, 0.5).collect()]
+    both = [(x + r, t) for x in "lr" for r, t, _ in rows[x]]
+    want = {(a[1:], b[1:]) for a, b in brute(both, 2, 0.5) if a[0] == "l" and b[0] == "r"}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    assert similar_between(left, right.limit(0), 0.5).count() == 0
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("abcdefgh"), st.sampled_from("12345678")), min_size=1, max_size=40))
 def test_any_sets(spark, rows):
