@@ -158,11 +158,17 @@ def _grams(h: np.ndarray, k: int) -> np.ndarray:
 
 
 _SHORT = np.uint64(0x9E3779B97F4A7C15)
+#: One stretch alone, not a run, says that a shorter item may stand in a text; so it has more places in the bitmap.
+_MORE_PLACES = 3
+
+
+def _place(g: np.ndarray, n: int) -> np.ndarray:
+    return mix(g + np.uint64(n)) if n else g
 
 
 def _parts(min_words: int, shard_chars: int):
     """Items as words, in parts of at most about shard_chars characters, with the hashes by which documents are routed: of a whole item's stretches all, of an
-    item shorter than a match its first (length is that stretch's words, 0 for the others)."""
+    item shorter than a match its first (length is that stretch's words, 0 for the others), and the places they have in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, k = WordHashes(), min(GRAM, min_words)
@@ -178,11 +184,14 @@ def _parts(min_words: int, shard_chars: int):
                     h = np.fromiter(map(hashes.__getitem__, part), np.uint64, len(part))
                     if len(words) < min_words:
                         length = min(len(words), k)
-                        rows.append((item, n, part, length, (_grams(h[:length], length) ^ _SHORT).view(np.int64)))
+                        g = _grams(h[:length], length) ^ _SHORT
+                        places = np.concatenate([_place(g, i) for i in range(_MORE_PLACES + 1)])
                     else:
-                        rows.append((item, n, part, 0, np.unique(_grams(h, k)).view(np.int64)))
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["item", "part", "words", "length", "grams"])
+                        length = 0
+                        g = places = np.unique(_grams(h, k))
+                    rows.append((item, n, part, length, g.view(np.int64), places.view(np.int64)))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["item", "part", "words", "length", "grams", "places"])
 
     return run
 
@@ -226,7 +235,9 @@ def _suspects(shared, min_words: int):
                     hits = [g[i:j] for i, j in zip(step[::2].tolist(), step[1::2].tolist(), strict=True) if j - i >= need]
                 for length in lengths:
                     g = _grams(h, length) ^ _SHORT
-                    hits.append(g[bitmap[g >> shift]])
+                    for i in range(_MORE_PLACES + 1):
+                        g = g[bitmap[_place(g, i) >> shift]]
+                    hits.append(g)
                 if any(map(len, hits)):
                     rows.append(n)
                     found.append(np.unique(np.concatenate(hits)).view(np.int64))
@@ -285,7 +296,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     kind = docs.schema["doc_id"].dataType.simpleString()
     items = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).cast("bigint"), F.col(item_text)).distinct()
-    parts = items.mapInArrow(_parts(min_words, shard_chars), "item bigint, part int, words array<string>, length int, grams array<bigint>")
+    parts = items.mapInArrow(_parts(min_words, shard_chars), "item bigint, part int, words array<string>, length int, grams array<bigint>, places array<bigint>")
     parts = materialise(parts, "item-parts")
     chars = parts.agg(F.sum(F.aggregate("words", F.lit(0), lambda n, w: n + F.length(w) + 1).cast("bigint"))).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
@@ -295,7 +306,8 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     built = materialise(built.mapInArrow(_build(min_words), "shard int, index binary"), "item-indexes")
     lengths = sorted(r.length for r in parts.select("length").distinct().collect())  # at most GRAM + 1
 
-    shared = sc.broadcast((*_bitmap(grams), [n for n in lengths if n], 0 in lengths))
+    places = parts.select(F.explode("places").alias("gram")).distinct()
+    shared = sc.broadcast((*_bitmap(places), [n for n in lengths if n], 0 in lengths))
     found = spread(docs, "doc_id").mapInArrow(_suspects(shared, min_words), f"doc_id {kind}, text string, hits array<bigint>")
     found = materialise(found.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary")))), "suspects")
     shared.destroy()
