@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import jaccard, token_set
 from ..session import materialise
 from . import graph
+from .postings import SearchIndex
 from .search import Wanted, find_hits, is_synthesized, ranked_lists, search_kinds, with_boost
 
 LEAST_SCORE, LEAST_SYNTH, LEAST_DESCRIPTION, ALIKE = 0.025, 0.012, 30, 0.5
@@ -70,9 +71,9 @@ class Bundle:
     conflicts: DataFrame | None = None
 
 
-def build(pages: DataFrame, links: DataFrame, question: str, limit: int = 10) -> Bundle:
+def build(pages: DataFrame, links: DataFrame, question: str, limit: int = 10, index: SearchIndex | None = None) -> Bundle:
     """Synthesized pages first, up to half the limit, then notes that pass compression; the raw files they cite, their neighbours in the wiki, and conflicts."""
-    hits = find_hits(pages, question)
+    hits = find_hits(pages, question, index)
     if hits is None:
         return Bundle(question)
     columns = ["id", "path", "kind", "title", "description", "snippet", "score", "position"]

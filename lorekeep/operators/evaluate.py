@@ -138,3 +138,24 @@ def judged(rows: DataFrame, judge: Callable[[str, str], str], prompts: dict[str,
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, fields + "".join(f", `{n}` double" for n in names))
+
+
+def judged_list(rows: DataFrame, judge: Callable[[str, str], str], system: str, name: str = "precision") -> DataFrame:
+    """rows (question, contexts: array<string>) with the share of the contexts that the judge, asked once for all of a row, marks with 1 in its answer, a list of zeros and
+    ones; 0.5 if the answer is no such list, 0 without contexts. Marks beyond the contexts don't count; missing ones count as 0."""
+
+    def score(question: str, contexts: list[str]) -> float:
+        if not contexts:
+            return 0.0
+        asked = f"{question}\n\n" + "\n\n".join(f"[{i}] {c}" for i, c in enumerate(contexts, 1))
+        m = re.search(r"\[[01,\s]*\]", judge(system, asked))
+        marks = re.findall("[01]", m[0]) if m else []
+        return marks[: len(contexts)].count("1") / len(contexts) if marks else 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = [score(r["question"] or "", r["contexts"] or []) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, name])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, fields + f", `{name}` double")

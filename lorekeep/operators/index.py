@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import frontmatter as fm
 from ..functions import text as tx
+from ..session import materialise
 
 RELATIONS = (("sources", "cites"), ("contradicts", "contradicts"), ("supersedes", "supersedes"), ("supports", "supports"), ("related_to", "related_to"))
 PAGE_COLUMNS = ["id", "path", "layer", "kind", "title", "description", "content", "content_hash", "source_uri", "updated_at", "authority", "doc_timestamp"]
@@ -75,11 +76,12 @@ def purge(pages: DataFrame, links: DataFrame, tags: DataFrame, current_ids: Data
     return without(pages, "id"), links_left, without(tags, "doc_id"), gone
 
 
-def index_run(pages: DataFrame, links: DataFrame, tags: DataFrame, scanned: DataFrame, as_of: int, force: bool = False) -> dict[str, DataFrame]:
-    """One run over the scanned files: pages, links and tags as they are afterwards, and the ids `written` and `purged`."""
-    new = parse(changed(pages, scanned, force))
+def index_run(pages: DataFrame, links: DataFrame, tags: DataFrame, scanned: DataFrame, as_of: int, force: bool = False, current_ids: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One run over the scanned files: pages, links and tags as they are afterwards, and the ids `written` and `purged`. Files that changed are read and parsed once, into a
+    table. current_ids are all files there are, where only some of them were scanned."""
+    new = materialise(parse(changed(pages, scanned, force)), "changed-files")
     ids = new.select("id")
-    pages, links, tags, gone = purge(pages, links, tags, scanned)
+    pages, links, tags, gone = purge(pages, links, tags, scanned if current_ids is None else current_ids)
     return {
         "pages": upsert(pages.select(PAGE_COLUMNS), pages_of(new, as_of)),
         "links": replace_by(links, links_of(new), "source_doc_id", ids),

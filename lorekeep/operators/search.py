@@ -1,7 +1,7 @@
 """Keyword search over pages: phases, BM25, rank fusion, boosts and pools.
 
-One pass over the pages finds every row that any keyword hits, with all that ranking needs, and observes the corpus statistics of BM25 in
-that same pass; what is hit is a written table without page contents. Everything after reads that table: each phase is a
+One pass over the pages finds every row that any keyword hits, with all that ranking needs, and observes the statistics of BM25 in
+that same pass; with a search index only the pages that can be hit are read. What is hit is a written table without page contents. Everything after reads that table: each phase is a
 distributed top-k, and windows only ever run over the rows of a bounded list.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, spread
+from .postings import SearchIndex, narrowed
 
 K1, B_LENGTH, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K = 60
@@ -66,7 +67,13 @@ class Hits:
     short: list[str]
 
 
-def find_hits(pages: DataFrame, query: str) -> Hits | None:
+def page_length(columns: dict[str, Column] | None = None) -> Column:
+    """Trigrams of a page's indexed columns: what BM25 takes for its length."""
+    columns = columns or {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in INDEXED}
+    return reduce(lambda x, y: x + y, (F.greatest(F.length(columns[c]) - 2, F.lit(0)) for c in INDEXED))
+
+
+def find_hits(pages: DataFrame, query: str, index: SearchIndex | None = None) -> Hits | None:
     """None for a query without keywords. A null column holds no keyword and has no length; a null content, title or kind reads as empty."""
     keywords = split_keywords(query)
     if not keywords:
@@ -74,13 +81,15 @@ def find_hits(pages: DataFrame, query: str) -> Hits | None:
     long = [k for k in keywords if len(k) >= 3]
     short = [k for k in keywords if len(k) < 3]
     text = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in INDEXED}
-    length = reduce(lambda x, y: x + y, (F.greatest(F.length(text[c]) - 2, F.lit(0)) for c in INDEXED))
+    length = page_length(text)
     counts = [reduce(lambda x, y: x + y, (occurrences(text[c], k.lower()) for c in INDEXED)).alias(f"f{i}") for i, k in enumerate(long)]
     likes = [
         (F.col("title").ilike(f"%{k}%") | F.col("content").ilike(f"%{k}%")).alias(f"like{i}") if "\\" not in k
         else (F.contains(text["title"], F.lit(k.lower())) | F.contains(text["content"], F.lit(k.lower()))).alias(f"like{i}")
         for i, k in enumerate(short)
     ]
+    if index:
+        pages = narrowed(pages, index, keywords)
     seen = spread(pages, "id").select(
         "id", "path", "layer", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("description", F.lit("")).alias("description"), F.coalesce("authority", F.lit(3)).alias("authority"),
@@ -92,7 +101,9 @@ def find_hits(pages: DataFrame, query: str) -> Hits | None:
     seen = seen.observe(stats, *totals, *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(long))])
     hit = [F.col(f"f{i}") > 0 for i in range(len(long))] + [F.coalesce(F.col(f"like{i}"), F.lit(False)) for i in range(len(short))]
     rows = materialise(seen.where(reduce(lambda x, y: x | y, hit)), "hits")
-    s = stats.get
+    s = dict(stats.get)
+    if index:
+        s |= index.sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length")).first().asDict()
     average = (s["length"] or 0) / s["n"] if s["n"] else 1.0
     rank = F.lit(0.0)
     for i in range(len(long)):
@@ -127,6 +138,14 @@ class Wanted:
     limit: int
 
 
+def _keep_limit(df: DataFrame, most: int) -> None:
+    """The optimizer takes the first rows of a window's groups in the tasks, before they are exchanged, only up to a limit that is a setting; a
+    limit beyond it would bring whole groups into one task."""
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(df.sparkSession.conf.get(name)) < most:
+        df.sparkSession.conf.set(name, most)
+
+
 def ranked_lists(hits: Hits, wanted: list[Wanted]) -> DataFrame:
     """All lists in one job, told apart by `list`; `position` counts from 1 in each.
 
@@ -148,6 +167,7 @@ def ranked_lists(hits: Hits, wanted: list[Wanted]) -> DataFrame:
     rows = rows.withColumn("fts_rank", F.when(is_short, 0.0).otherwise(F.col("rank"))).withColumn("snippet", F.when(is_short, "").otherwise(F.col("snippet")))
     limit = F.element_at(F.array(*[F.lit(w.limit) for w in wanted]), F.col("list") + 1)
     most = max(w.limit for w in wanted)
+    _keep_limit(rows, most * len(hits.keywords))
     top = F.row_number().over(Window.partitionBy("list", "step").orderBy(*_sorting(_BEST)))
     rows = rows.withColumn("_n", top).where(F.col("_n") <= most * len(hits.keywords)).where(F.col("_n") <= limit * len(hits.keywords))
     once = F.row_number().over(Window.partitionBy("list", "id").orderBy("step"))
@@ -167,8 +187,8 @@ def phases(hits: Hits, layer: str | None, kind: str | None, limit: int) -> DataF
     return ranked_lists(hits, [Wanted(layer, kind, limit)]).drop("list")
 
 
-def search(pages: DataFrame, query: str, layer: str | None = None, kind: str | None = None, limit: int = 10) -> DataFrame | None:
-    hits = find_hits(pages, query)
+def search(pages: DataFrame, query: str, layer: str | None = None, kind: str | None = None, limit: int = 10, index: SearchIndex | None = None) -> DataFrame | None:
+    hits = find_hits(pages, query, index)
     return phases(hits, layer, kind, limit) if hits else None
 
 
@@ -216,13 +236,14 @@ def hybrid_score(position: Column, kind: Column, authority: Column, boost: Colum
     return score + F.when(timestamp > 0, DECAY_BONUS * F.exp(-decay * days)).otherwise(0.0)
 
 
-def layered(pages: DataFrame, links: DataFrame, query: str, as_of: int, layer: str | None = None, kind: str | None = None, sources: int = 10, synths: int = 3) -> DataFrame | None:
+def layered(pages: DataFrame, links: DataFrame, query: str, as_of: int, layer: str | None = None, kind: str | None = None, sources: int = 10, synths: int = 3, index: SearchIndex | None = None) -> DataFrame | None:
     """The layered search: fused lists, boosted by kind, authority, links and age at `as_of`, then the best of two pools, notes first.
     `pool` is note or synth, `place` the position in the pool. None for a query without keywords."""
-    hits = find_hits(pages, query)
+    hits = find_hits(pages, query, index)
     if hits is None:
         return None
-    results = with_boost(search_kinds(hits, layer, kind, (sources + synths) * 4), links)
+    fused = materialise(search_kinds(hits, layer, kind, (sources + synths) * 4), "fused")  # read twice below
+    results = with_boost(fused, links)
     score = hybrid_score(F.col("position"), F.col("kind"), F.col("authority"), F.col("graph_boost"), F.col("doc_timestamp"), as_of)
     scored = results.withColumn("score", score).withColumn("pool", F.when(is_synthesized(F.col("kind")), "synth").otherwise("note"))
     ranked = scored.withColumn("place", F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("score"), "id")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import frontmatter as fm
 from ..functions import notes as nt
 from ..functions import text as tx
+from ..functions.prompts import GAPS
 
 Llm = Callable[[str, str], str]
 PLAN_SCHEMA = "array<struct<type: string, title: string, slug: string, description: string, sources: array<string>>>"
@@ -60,6 +61,12 @@ def viable(plans: DataFrame) -> DataFrame:
     return plans.where(F.size("sources") >= 1)
 
 
+def safe_plans(plans: DataFrame) -> DataFrame:
+    """Plans as a model gave them, made fit for file names: of the known types, with a slug of letters, digits and dashes; others are left out."""
+    named = plans.withColumn("slug", tx.topic_slug(F.coalesce("slug", "title", F.lit(""))))
+    return named.where(F.col("type").isin("concept", "comparison", "decision") & (F.col("slug") != ""))
+
+
 def routed(plans: DataFrame, pages: DataFrame) -> DataFrame:
     """Plans with dest, is_draft and step (create, append or rewrite): a page stays where it is, as page or as draft; a new one of
     fewer than DRAFT_BELOW sources is a draft; one that reaches REWRITE_FROM sources is written anew."""
@@ -112,7 +119,7 @@ def plan_prompt(notes: DataFrame, titles: list[str], topic: str) -> str:
     return f"{about}Existing pages:\n" + "".join(f"- {t}\n" for t in titles) + "\nNotes:\n" + note_list(notes)
 
 
-def gap_report(notes: DataFrame, topic: str, llm: Llm, system: str = "List what these notes cover, and what is missing.") -> tuple[str, str]:
+def gap_report(notes: DataFrame, topic: str, llm: Llm, system: str = GAPS) -> tuple[str, str]:
     """(path, report) on what the notes of a topic leave out; no notes are an error."""
     mine = topic_filter(notes, topic)
     if mine.isEmpty():

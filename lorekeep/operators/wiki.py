@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -30,6 +30,10 @@ def index_entries(pages: DataFrame) -> DataFrame:
     return _listed(pages).select(F.regexp_replace("id", "/[^/]*$", "").alias("dir"), file.alias("file"), line.alias("line"))
 
 
+#: The head of the root's index page and its line for a folder.
+ROOT_HEAD, FOLDER_LINE = '---\nokf_version: "0.1"\n---\n\n# wiki\n\n', "* [{0}]({0}/) — {1} page(s)\n"
+
+
 def index_texts(pages: DataFrame) -> Iterator[tuple[str, str]]:
     """(path, text) in pieces, in order, of the index page of every wiki folder: a head, then a line at a time, so no folder's list is ever held. The root lists its folders with their page counts."""
     now = None
@@ -39,9 +43,9 @@ def index_texts(pages: DataFrame) -> Iterator[tuple[str, str]]:
             now = path
             yield path, f"# {r.dir.rsplit('/', 1)[-1]}\n\n"
         yield path, r.line + "\n"
-    yield "wiki/index.md", '---\nokf_version: "0.1"\n---\n\n# wiki\n\n'
+    yield "wiki/index.md", ROOT_HEAD
     for r in folder_counts(pages).orderBy("folder").toLocalIterator():
-        yield "wiki/index.md", f"* [{r.folder}]({r.folder}/) — {r.n_pages} page(s)\n"
+        yield "wiki/index.md", FOLDER_LINE.format(r.folder, r.n_pages)
 
 
 def folder_counts(pages: DataFrame) -> DataFrame:
@@ -158,8 +162,3 @@ def status(pages: DataFrame, queue: DataFrame) -> DataFrame:
     for p in parts:
         one = one.join(p.withColumn("_", F.lit(1)), "_")
     return one.drop("_")
-
-
-def first_per(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
-    """The first n rows per keys."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")

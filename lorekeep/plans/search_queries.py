@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, search
-from ..session import table
+from ..operators import graph, postings, search
+from ..session import materialise, table
 from .graph_queries import ADJACENCY, MERGED_SQL
 
 QUERY, AS_OF = "pipeline, incident 模板，db", 1767225600
@@ -44,6 +44,14 @@ def fts_three_phase(spark, sf_dir):
     return _rounded(search.search(_tables(spark, sf_dir)[0], QUERY, limit=LIMIT).drop("doc_timestamp"), "fts_rank")
 
 
+def fts_postings(spark, sf_dir):
+    """The same search over a search index, which is written first."""
+    pages = _tables(spark, sf_dir)[0]
+    grams = materialise(postings.sorted_postings(postings.postings_of(pages, search.INDEXED)), "postings")
+    index = postings.SearchIndex(grams, pages.select("id", search.page_length().alias("length")))
+    return _rounded(search.search(pages, QUERY, limit=LIMIT, index=index).drop("doc_timestamp"), "fts_rank")
+
+
 def rrf_multi_kind(spark, sf_dir):
     hits = search.find_hits(_tables(spark, sf_dir)[0], QUERY)
     return _rounded(search.search_kinds(hits, None, None, LIMIT), "rrf").select("id", "kind", "title", "rrf", "lists", "position")
@@ -74,8 +82,6 @@ def layered_search(spark, sf_dir):
 def layered_search_related(spark, sf_dir):
     """The layered results with their related pages, from links and from tags."""
     pages, links = _tables(spark, sf_dir)
-    from ..session import materialise
-
     found = materialise(search.layered(pages, links, QUERY, AS_OF, sources=SOURCES, synths=SYNTHS).select("id", "pool", "place"), "results")
     seeds = found.select("id")
     near = [graph.related(links, pages, 3, seeds), graph.tag_related(table(spark, sf_dir, "document_tags"), pages, 5, seeds)]
@@ -86,8 +92,6 @@ def layered_search_related(spark, sf_dir):
 def search_expand(spark, sf_dir):
     """The neighbours of the best pages of the wiki."""
     pages, links = _tables(spark, sf_dir)
-    from ..session import materialise
-
     hits = search.find_hits(pages, QUERY)
     best = materialise(search.search_kinds(hits, "wiki", None, 4 * LIMIT).where(F.col("position") <= LIMIT).select("id"), "results")
     return graph.expand(best, links, pages, LIMIT)
@@ -150,7 +154,7 @@ layered AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY score DESC,
 
 QUERIES = {
     f.__name__: f
-    for f in (fts_and, fts_or, like_short, fts_three_phase, rrf_multi_kind, rrf_strict_layer, search_one_kind, hybrid_rank, layered_search, layered_search_related, search_expand)
+    for f in (fts_and, fts_or, like_short, fts_three_phase, fts_postings, rrf_multi_kind, rrf_strict_layer, search_one_kind, hybrid_rank, layered_search, layered_search_related, search_expand)
 }
 SQL = {
     "fts_and": BASE + "SELECT id, round(rank, 9) AS fts_rank FROM hits WHERE long_hits = 2",
@@ -175,3 +179,4 @@ SELECT * FROM page WHERE id IN (SELECT a.id FROM adjacency a JOIN best b ON a.se
     + MERGED_SQL
     + "SELECT l.id, l.pool, l.place, m.id AS related_id, m.place AS related_place FROM layered l LEFT JOIN merged m ON m.seed = l.id",
 }
+SQL["fts_postings"] = SQL["fts_three_phase"]

@@ -24,7 +24,10 @@ class Settings:
     llm_base: str = ""
     llm_token: str = ""
     llm_model: str = ""
+    llm_style: str = "chat"
     workers: int = 3
+    convert_command: str = ""
+    import_runner: str = ""
 
     @classmethod
     def load(cls, path: str, env: dict | None = None) -> Settings:
@@ -51,6 +54,10 @@ class Settings:
         return {k: ("set" if v else "") if k in ("api_key", "llm_token") else v for k, v in asdict(self).items()}
 
 
+#: Settings that say which code runs, or where; they are fixed when the process starts.
+FIXED = ("root", "host", "port", "import_runner", "convert_command")
+
+
 class Service:
     def __init__(self, kb: KnowledgeBase, settings: Settings, settings_path: str = ""):
         self.kb, self.settings, self.path = kb, settings, settings_path
@@ -88,13 +95,15 @@ class Service:
                 case "POST", "/api/upload":
                     return 200, {"path": kb.upload(params.get("name", ""), body)}
                 case "POST", "/api/import":
-                    return 200, kb.import_document(data["url"], data["runner"], data.get("name", ""))
+                    if "runner" in data or not self.settings.import_runner:
+                        raise RequestError("the runner of imports is a setting of the process")
+                    return 200, kb.import_document(data["url"], self.settings.import_runner, data.get("name", ""))
                 case "GET", "/api/settings":
                     return 200, self.settings.shown()
                 case "PUT", "/api/settings":
                     for k, v in data.items():
-                        if not hasattr(self.settings, k):
-                            raise RequestError(f"no setting {k}")
+                        if k in FIXED or k not in asdict(self.settings):
+                            raise RequestError(f"no setting {k} to change")
                         setattr(self.settings, k, type(getattr(self.settings, k))(v))
                     if self.path:
                         self.settings.save(self.path)

@@ -8,8 +8,10 @@ import html
 import io
 import json
 import re
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -145,6 +147,34 @@ def converted(files: DataFrame, convert: Callable[[str, bytes], str | None]) ->
     return files.select("id", "content").mapInArrow(run, "path string, markdown string, ok boolean")
 
 
+def with_sheets(convert: Callable[[str, bytes], str | None]) -> Callable[[str, bytes], str | None]:
+    """A converter that puts the workbooks embedded in office files into what it makes of them."""
+
+    def both(name: str, data: bytes) -> str | None:
+        made = convert(name, data)
+        if made is None or not data.startswith(b"PK"):
+            return made
+        return inject_sheets(made, data, lambda sheet: convert("sheet.xlsx", sheet) or "")
+
+    return both
+
+
+def save_texts(files: DataFrame, root: str) -> DataFrame:
+    """path of each file (path below the root, text), written by the task that has it, whole or not at all; writing it again changes nothing. The root is a folder that all executors share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, text in zip(b.column(0), b.column(1), strict=True):
+                at = Path(root, path.as_py())
+                at.parent.mkdir(parents=True, exist_ok=True)
+                part = at.with_name(f".{at.name}.{uuid.uuid4().hex}")
+                part.write_text(text.as_py())
+                part.replace(at)
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["path"])
+
+    return files.select("path", "text").mapInArrow(run, "path string")
+
+
 def command_converter(command: list[str], seconds: int = 120) -> Callable[[str, bytes], str | None]:
     """A converter that gives a file to an outside command and reads Markdown from its output."""
     import subprocess

@@ -62,10 +62,14 @@ def undistilled(ids: DataFrame) -> DataFrame:
     return raw.withColumn("rel", without_converted(F.col("path"))).join(notes, "rel", "left_anti").select("path")
 
 
+def is_convertible(id_: Column) -> Column:
+    """A raw file of a kind that is converted to Markdown."""
+    return F.regexp_like(id_, F.lit(rf"(?i)^raw/.*\.({'|'.join(CONVERTIBLE)})$")) & ~id_.startswith("raw/converted/")
+
+
 def convertible(listed: DataFrame) -> DataFrame:
     """path (below raw/) of the raw files of a convertible kind whose Markdown is not in raw/converted/ yet."""
-    kinds = "|".join(CONVERTIBLE)
-    raw = listed.where(F.regexp_like("id", F.lit(rf"(?i)^raw/.*\.({kinds})$")) & ~F.col("id").startswith("raw/converted/"))
+    raw = listed.where(is_convertible(F.col("id")))
     raw = raw.select(F.substr("id", F.lit(5)).alias("path")).withColumn("made", F.concat(F.lit("raw/converted/"), F.regexp_replace("path", r"\.[^./]*$", ""), F.lit(".md")))
     return raw.join(listed.select(F.col("id").alias("made")), "made", "left_anti").select("path")
 

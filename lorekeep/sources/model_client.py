@@ -10,6 +10,10 @@ from dataclasses import dataclass
 from ..functions.notes import endpoint
 
 
+#: Fixed value: the version that the `messages` format asks for in its header.
+MESSAGES_VERSION = "2023-06-01"
+
+
 @dataclass(frozen=True)
 class HttpModel:
     """Called with (system, user) it returns the answer's text. style is `chat` (a list of messages with the system's first) or `messages` (the system apart). It is
@@ -23,12 +27,14 @@ class HttpModel:
     seconds: int = 120
 
     def __call__(self, system: str, user: str) -> str:
+        if self.style not in ("chat", "messages"):
+            raise ValueError(f"no message format {self.style!r}")
         if not (self.base and self.token and self.model):
             raise ValueError("the model needs an address, a token and a name")
         said = [{"role": "user", "content": user}]
         body: dict = {"model": self.model, "max_tokens": self.max_tokens}
         if self.style == "messages":
-            path, headers = "/v1/messages", {"x-api-key": self.token}
+            path, headers = "/v1/messages", {"x-api-key": self.token, "anthropic-version": MESSAGES_VERSION}
             body |= {"system": system, "messages": said}
         else:
             path, headers = "/v1/chat/completions", {"Authorization": f"Bearer {self.token}"}

@@ -30,15 +30,18 @@ def is_watched(id_):
 
 
 def changed_files(spark: SparkSession, root: str, most_files: int = 10_000) -> DataFrame:
-    """A stream of id, layer, content, mtime of pages as they are created or rewritten, at most most_files a batch."""
+    """A stream of id, layer, content, mtime of pages as they are created or rewritten, and of files to convert (content null), at most most_files a batch."""
     reader = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", True).option("maxFilesPerTrigger", most_files)
     found = reader.load(root).select(kb_files.relative(root, F.col("path")).alias("id"), "content", F.unix_timestamp("modificationTime").alias("mtime"))
-    found = found.where(is_watched(F.col("id")) & kb_files.is_page(F.col("id")))
-    return found.select("id", layer(F.col("id")).alias("layer"), F.decode("content", "UTF-8").alias("content"), "mtime")
+    page = kb_files.is_page(F.col("id"))
+    found = found.where(is_watched(F.col("id")) & (page | kb_files.is_convertible(F.col("id"))))
+    return found.select("id", layer(F.col("id")).alias("layer"), F.when(page, F.decode("content", "UTF-8")).alias("content"), "mtime")
 
 
 def debounced(events: DataFrame, time: str, keys: list[str], quiet: str = QUIET) -> DataFrame:
     """keys, fires_at, n: one row per burst of events, at the end of the quiet time after its last. Works on tables and, with a watermark on `time`, on streams."""
+    # events merge into bursts in the tasks that read them, so a key of very many events sends bursts
+    events.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", True)
     window = F.session_window(time, quiet)
     return events.groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("started_at"), F.col("w.end").alias("fires_at"), "n")
 

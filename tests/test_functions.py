@@ -108,7 +108,7 @@ def test_sources_and_provenance():
 def test_light_note(spark):
     text = "intro\n**Bold one**\n# Heading\n![a](data:image/png;base64," + "A" * 30 + ")![b](media/x.png)end"
     note = one(spark, nt.light_note(F.col("p"), F.col("c"), "2026-01-01T00:00:00Z"), p="raw/a.md", c=text)
-    assert 'title: "Bold one"' in note and "  - raw/a.md\n" in note and "<!-- image removed -->end" in note and note.endswith("\n")
+    assert 'title: "Bold one"' in note and "  - raw/a.md\n" in note and "(an image stood here)end" in note and note.endswith("\n")
     assert one(spark, nt.light_title(F.col("p"), F.col("c")), p="raw/a-b.md", c="nothing") == "a-b"
     assert 'title: "say \\"x\\" \\\\"' in one(spark, nt.light_note(F.col("p"), F.col("c"), "s"), p="raw/a.md", c='# say "x" \\')
 
