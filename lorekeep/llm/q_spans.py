@@ -11,8 +11,8 @@ from .spans import coverage, removed, shared_between
 def p8_found(spark, sf_dir):
     members, pairs = shared_between(table(spark, sf_dir, "documents"), "doc_id", "text")
     one, two = members.select("digest", F.col("id").alias("x")), members.select("digest", F.col("id").alias("y"))
-    across = pairs.join(one.withColumnRenamed("digest", "class_a"), "class_a").join(two.withColumnRenamed("digest", "class_b"), "class_b").select("x", "y")
-    within = one.join(two, "digest").where("x < y").select("x", "y")
+    across = pairs.join(one.withColumnRenamed("digest", "class_a").hint("merge"), "class_a").join(two.withColumnRenamed("digest", "class_b").hint("merge"), "class_b").select("x", "y")
+    within = one.join(two.hint("merge"), "digest").where("x < y").select("x", "y")
     both = across.where("x <> y").unionByName(within)
     return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 

@@ -364,6 +364,9 @@ def _halves(cells: DataFrame, least: int) -> DataFrame:
     )
 
 
+# Joins of tables that grow with the corpus are hinted to merge: a broadcast of either side would only be right for small inputs.
+
+
 def _parts(df: DataFrame, chars: int) -> int:
     return min(MOST_PARTS, max(df.sparkSession.sparkContext.defaultParallelism, chars // PART_CHARS))
 
@@ -393,11 +396,11 @@ def _cut(docs: DataFrame, key: str, text: str, least: int) -> tuple[DataFrame, D
     while True:
         sizes = cells.select("key", "hi", "lo", F.md5(F.col("text").cast("binary")).alias("s")).groupBy("key", "s").agg(F.max(F.col("hi") - F.col("lo")).alias("wide"))
         hot = materialise(sizes.groupBy("key").agg(F.count("*").alias("n"), F.max("wide").alias("wide")).where((F.col("n") > HOT) & (F.col("wide") > 0)).select("key"), "hot")
-        cold = cells if hot.isEmpty() else cells.join(hot, "key", "left_anti")
+        cold = cells if hot.isEmpty() else cells.join(hot.hint("merge"), "key", "left_anti")
         done = cold if done is None else done.unionByName(cold)
         if hot.isEmpty():
             break
-        cells = materialise(_halves(cells.join(hot, "key"), least), "segments")
+        cells = materialise(_halves(cells.join(hot.hint("merge"), "key"), least), "segments")
     cells = done.withColumn("seg", F.unhex(F.md5(F.col("text").cast("binary"))))
     each = cells.groupBy("key", "seg").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.first("text").alias("text"))  # equal ones meet in the tasks first
     w = Window.partitionBy("key")  # of at most HOT rows
@@ -421,16 +424,16 @@ def shared_between(docs: DataFrame, key: str, text: str, least: int = LEAST, sha
     members, cells, segments = _cut(docs, key, text, least)
     found = materialise(_by_shard(segments).mapInArrow(_match(least, shard_chars), "key bigint, seg_a binary, seg_b binary"), "matched")
     # the segments of one passage mostly stand in the same texts: pairs are made once for each different set of texts, not for each segment
-    held = cells.join(segments.select("key", "seg"), ["key", "seg"]).select("key", "seg", F.col("class.digest").alias("digest")).distinct()
+    held = cells.join(segments.select("key", "seg").hint("merge"), ["key", "seg"]).select("key", "seg", F.col("class.digest").alias("digest")).distinct()
     held = materialise(held, "held")
     name = F.struct(F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"), F.count("*").alias("n"))
     sets = materialise(held.groupBy("key", "seg").agg(name.alias("set")), "sets")
-    texts = materialise(held.join(sets, ["key", "seg"]).select("set", "digest").distinct(), "set-texts")
-    named = lambda x: sets.select("key", F.col("seg").alias(f"seg_{x}"), F.col("set").alias(f"set_{x}"))
+    texts = materialise(held.join(sets.hint("merge"), ["key", "seg"]).select("set", "digest").distinct(), "set-texts")
+    named = lambda x: sets.select("key", F.col("seg").alias(f"seg_{x}"), F.col("set").alias(f"set_{x}")).hint("merge")
     across = found.join(named("a"), ["key", "seg_a"]).join(named("b"), ["key", "seg_b"]).select("set_a", "set_b")
     within = sets.where("set.n > 1").select(F.col("set").alias("set_a"), F.col("set").alias("set_b"))
     links = across.unionByName(within).distinct()
-    pairs = links.join(texts.toDF("set_a", "x"), "set_a").join(texts.toDF("set_b", "y"), "set_b").where("x <> y")
+    pairs = links.join(texts.toDF("set_a", "x").hint("merge"), "set_a").join(texts.toDF("set_b", "y").hint("merge"), "set_b").where("x <> y")
     pairs = pairs.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b")).distinct()
     return members, materialise(pairs, "shared-pairs")
 
