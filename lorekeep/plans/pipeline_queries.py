@@ -12,8 +12,9 @@ from ..session import materialise, table
 from ..streaming.watch import debounced
 from . import search_queries
 from .search_queries import QUERY
+from .wiki_queries import _STEM, GOOD_TAG, _trimmed
 
-TOPIC, STAMP, GAP_S, RESULTS = "pipeline", "2026-01-01T00:00:00Z", 180, 50
+TOPIC, STAMP, GAP_S, RESULTS = "api", "2026-01-01T00:00:00Z", 180, 50
 
 
 def _pages(spark, sf_dir):
@@ -166,6 +167,36 @@ retrieved AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score D
 _HITS = """SELECT e.item_id, (min(place) IS NOT NULL)::INT AS hit, coalesce(1.0::DOUBLE / min(place), 0::DOUBLE) AS rr FROM eval_items e
   LEFT JOIN retrieved r ON r.item_id = e.item_id AND e.expected_page <> '' AND (contains(id, expected_page) OR contains(expected_page, id)) GROUP BY e.item_id"""
 
+_RECORDS = r"""
+WITH RECURSIVE keys AS (SELECT doc_id AS ordinal, lower('https://kb.example/' || coalesce(lang, 'und') || '/topic/' || n_chars) AS url,
+  CASE WHEN coalesce(source, '') = '' OR coalesce(title, '') = '' THEN '' ELSE lower(trim(regexp_replace(source, '\s+', ' ', 'g'))) || chr(0) || lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) END AS submit,
+  n_chars AS topic FROM documents)
+"""
+#: One record after the other against those kept so far: their places, and which of them a submission was last kept as.
+_KEPT = _RECORDS + """, k AS (SELECT *, row_number() OVER (ORDER BY ordinal) AS n FROM keys WHERE url <> '' OR submit <> ''),
+r AS (SELECT 0::BIGINT AS n, []::STRUCT(pos BIGINT, ord BIGINT, topic BIGINT, url VARCHAR)[] AS kept, MAP {}::MAP(VARCHAR, BIGINT) AS subs
+UNION ALL
+SELECT n, CASE WHEN hit IS NULL THEN list_append(kept, {'pos': ordinal, 'ord': ordinal, 'topic': topic, 'url': url})
+    WHEN topic > kept[hit].topic THEN kept[:hit - 1] || [{'pos': kept[hit].pos, 'ord': ordinal, 'topic': topic, 'url': url}] || kept[hit + 1:] ELSE kept END,
+  CASE WHEN submit <> '' AND (hit IS NULL OR topic > kept[hit].topic) THEN map_concat(subs, MAP {submit: coalesce(hit, len(kept) + 1)}) ELSE subs END
+FROM (SELECT k.*, kept, subs, coalesce(CASE WHEN url <> '' THEN nullif(list_position([x.url for x in kept], url), 0) END, CASE WHEN submit <> '' THEN subs[submit] END) AS hit FROM r JOIN k ON k.n = r.n + 1)),
+kept_rows AS (SELECT x.pos AS position, x.ord AS ordinal FROM (SELECT unnest(kept) AS x FROM (SELECT kept FROM r ORDER BY n DESC LIMIT 1))
+  UNION ALL SELECT ordinal, ordinal FROM keys WHERE url = '' AND submit = '')
+"""
+_COUNTED = r"""sum(CASE WHEN key = '{0}' AND value LIKE '[%' THEN len([x for x in string_split(trim(value, '[]'), ',') if trim(x, ' ' || chr(34) || chr(39)) <> '']) WHEN bare LIKE '-%' AND filling = '{0}' THEN 1 ELSE 0 END)"""
+_UNQUOTED = "CASE WHEN length({0}) >= 2 AND left({0}, 1) = right({0}, 1) AND left({0}, 1) IN (chr(34), chr(39)) THEN trim({0}[2:-2]) ELSE {0} END"
+_NOTE_FIELDS = rf"""
+WITH hd AS (SELECT id, regexp_extract(content, '(?s)^---.*?\n---') AS h FROM kb_documents WHERE regexp_matches(id, '^wiki/source-notes/.*\.md$') AND regexp_extract(id, '[^/]*$') NOT IN ('index.md', 'log.md')),
+ln AS (SELECT id, unnest(ls) AS raw, unnest(range(1, len(ls) + 1)) AS n FROM (SELECT id, string_split(substr(h, 4, length(h) - 7), chr(10)) AS ls FROM hd WHERE h <> '')),
+tr AS (SELECT id, n, rtrim(raw, ' ' || chr(13)) AS line FROM ln),
+kv AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS bare, split_part(line, ':', 1) AS key, CASE WHEN contains(line, ':') THEN trim(substr(line, strpos(line, ':') + 1), ' ' || chr(9) || chr(13)) ELSE '' END AS value FROM tr),
+st AS (SELECT *, CASE WHEN key IN ('title', 'description') THEN '' WHEN key IN ('tags', 'key_claims') AND contains(line, ':') THEN CASE WHEN value LIKE '[%' THEN '' ELSE key END
+  WHEN bare LIKE '-%' THEN NULL WHEN line <> '' AND left(line, 1) NOT IN (' ', chr(9)) THEN '' END AS opens FROM kv),
+fl AS (SELECT *, last_value(opens IGNORE NULLS) OVER (PARTITION BY id ORDER BY n) AS filling FROM st),
+n AS (SELECT id, arg_max(value, n) FILTER (key = 'title') AS title, arg_max(value, n) FILTER (key = 'description') AS description, {_COUNTED.format("tags")} AS n_tags, {_COUNTED.format("key_claims")} AS n_claims FROM fl GROUP BY id),
+q AS (SELECT hd.id, coalesce(title, '') AS t, coalesce(description, '') AS d, coalesce(n_tags, 0)::INT AS n_tags, coalesce(n_claims, 0)::INT AS n_claims FROM hd LEFT JOIN n ON n.id = hd.id)
+SELECT id AS path, {_UNQUOTED.format("t")} AS title, {_UNQUOTED.format("d")} AS description, n_tags, n_claims FROM q"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -195,12 +226,17 @@ FROM r GROUP BY ALL""",
     "entity_mentions": r"""
 WITH e AS (SELECT id, unnest(regexp_extract_all(content, '【([^|】]+)\|([^】]+)】', 1)) AS name FROM kb_documents),
 t AS (SELECT id, trim(name) AS t FROM e), m AS (SELECT id, CASE WHEN t = lower(t) AND regexp_matches(t, '^[a-zA-Z]') THEN upper(t[1]) || t[2:] ELSE t END AS tag FROM t)
-SELECT id, tag, count(*) AS n FROM m WHERE length(tag) BETWEEN 2 AND 20 AND tag NOT IN ('技术', '概念', '组织', '人物', '产品', '项目', '地点')
-  AND tag NOT IN ('nbsp', 'sources', 'pattern', 'from', 'wiki', 'tag', 'type', 'true', 'false', 'null')
-  AND NOT regexp_matches(tag, '(?i)https?://|mmbiz|appmsg|wx_fmt|chksm|bizuin|^http|^nbsp$|^sources$|^pattern$|^from$|^wiki\]$|^\[') GROUP BY ALL""",
-    "record_keys": r"""SELECT doc_id AS ordinal, lower('https://kb.example/' || coalesce(lang, 'und') || '/topic/' || n_chars) AS url_key,
-  CASE WHEN coalesce(source, '') = '' OR coalesce(title, '') = '' THEN '' ELSE lower(trim(regexp_replace(source, '\s+', ' ', 'g'))) || chr(0) || lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) END AS submit_key,
-  n_chars AS topic_id FROM documents""",
+SELECT id, tag, count(*) AS n FROM m WHERE """
+    + f"{GOOD_TAG} GROUP BY ALL",
+    "record_keys": _RECORDS + "SELECT ordinal, url AS url_key, submit AS submit_key, topic AS topic_id FROM keys",
+    "record_dedup": _KEPT + "SELECT * FROM kept_rows",
+    "import_totals": _KEPT + 'SELECT (SELECT count(*) FROM keys) AS total, count(*) AS "unique", (SELECT count(*) FROM keys) - count(*) AS removed FROM kept_rows',
+    "note_fields": _NOTE_FIELDS,
+    "light_notes": rf"""
+WITH t AS (SELECT id, content, regexp_extract(content, '(?m)^[ \t]*(# [^\n]*|\*\*[^\n]*\*\*)[ \t\r]*$', 1) AS line FROM kb_documents WHERE layer = 'raw'),
+u AS (SELECT id, content, CASE WHEN line = '' THEN {_STEM} WHEN starts_with(line, '# ') THEN {_trimmed("substr(line, 3)")} ELSE regexp_replace(line, '^\*+|\*+$', '', 'g') END AS title FROM t),
+v AS (SELECT *, regexp_replace(regexp_replace(content, '{nt._DATA_IMAGE}', '(an image stood here)', 'g'), '{nt._MEDIA_IMAGE}', '', 'g') AS cleaned FROM u)
+SELECT id, title, ({len(nt._LIGHT_HEAD % ("", "", STAMP, ""))} + strlen(replace(replace(title, '\', '\\'), '"', '\"')) + strlen(id) + strlen({_trimmed("cleaned")}))::INT AS n_bytes FROM v""",
     "naive_keyword_score": _retrieved("WHERE layer = 'raw'") + "SELECT item_id, id, score, place FROM retrieved",
     "eval_hit_mrr": _retrieved("") + _HITS,
     "eval_means": _retrieved("") + f", s AS ({_HITS}) SELECT suite, round(avg(hit), 9) AS hit, round(avg(rr), 9) AS rr FROM s JOIN eval_items USING (item_id) GROUP BY suite",

@@ -23,8 +23,8 @@ def _parsed(spark, sf_dir):
 
 def frontmatter_fields(spark, sf_dir):
     h = F.col("header")
-    sizes = [F.size(h[k]).alias(f"n_{k}") for k in fm.LISTS]
-    return _parsed(spark, sf_dir).select("id", h["title"].alias("title"), h["kind"].alias("kind"), h["description"].alias("description"), h["authority"].alias("authority"), h["timestamp"].alias("timestamp"), *sizes)
+    lists = [F.array_join(h[k], "|").alias(k) for k in fm.LISTS]
+    return _parsed(spark, sf_dir).select("id", h["title"].alias("title"), h["kind"].alias("kind"), h["description"].alias("description"), h["authority"].alias("authority"), h["timestamp"].alias("timestamp"), *lists)
 
 
 def page_links(spark, sf_dir):
@@ -37,8 +37,16 @@ def wikilinks(spark, sf_dir):
     return _pages(spark, sf_dir).select("id", F.explode(fm.wikilinks(body)).alias("name")).groupBy("id", "name").agg(F.count("*").alias("n"))
 
 
+def _claims(title, id_, concat):
+    """A page's text with claims that name its title and its id as entities; both sides build it."""
+    return concat("---\nkey_claims:\n  - 【", title, "|概念】 and 【", id_, "|项目】\n  - 【技术|技术】 【x|概念】 【 ", title, "|概念】\n---\ntext")
+
+
 def entity_tags(spark, sf_dir):
-    return index.tags_of(_parsed(spark, sf_dir))
+    """Tags from claims. The pages state none, so each gets claims made of its title and its id."""
+    pages = _pages(spark, sf_dir)
+    text = _claims(F.coalesce("title", F.lit("")), F.substr("id", F.lit(-12)), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    return index.tags_of(index.parse(pages.select("id", text.alias("content"))))
 
 
 def content_hash(spark, sf_dir):
@@ -46,9 +54,11 @@ def content_hash(spark, sf_dir):
 
 
 def hash_gated_upsert(spark, sf_dir):
-    """Pages that an index run over the table's own contents would write, as against their stored hashes."""
+    """Pages that an index run would write, where the table holds no decisions yet, and texts without description have changed since."""
     pages = _pages(spark, sf_dir)
-    return index.changed(pages, pages.select("id", "content")).select("id")
+    have = pages.where(F.coalesce("kind", F.lit("")) != "decision")
+    now = pages.select("id", F.when(F.col("description").isNull(), F.concat("content", F.lit("\n"))).otherwise(F.col("content")).alias("content"))
+    return index.changed(have, now).select("id")
 
 
 def stale_purge(spark, sf_dir):
@@ -171,8 +181,15 @@ def scalar_functions(spark, sf_dir):
     )
 
 
+#: Lines that make catalogues of some pages: of raw files with table rows, of notes with numbered entries, of concepts with too few of them.
+ROWS, ENTRIES, FEW = "\n| a | b |" * 60, "\nline" * 50 + "\nsee M12" * 5, "\nline" * 500 + "\nsee M12x" * 9 + "\nsee M12" * 4
+
+
 def technical_catalogue(spark, sf_dir):
-    return _pages(spark, sf_dir).where(tx.technical_catalogue(F.col("content"))).select("id")
+    """Catalogues among the pages, where some were made catalogues."""
+    more = F.when(F.col("layer") == "raw", ROWS).when(F.col("kind") == "source-note", ENTRIES).when(F.col("kind") == "concept", FEW).otherwise("")
+    pages = _pages(spark, sf_dir).select("id", F.concat("content", more).alias("content"))
+    return pages.where(tx.technical_catalogue(F.col("content"))).select("id")
 
 
 _HEADER = r"""
@@ -191,6 +208,9 @@ kv AS (SELECT ks.id, k, opens, CASE WHEN opens THEN NULL WHEN starts_with(raw, '
 """
 
 
+_PLANTED = _claims(None, None, lambda *parts: " || ".join("'" + p.replace("\n", "' || chr(10) || '") + "'" if p is not None else x for p, x in zip(parts, ("", "coalesce(title, '')", "", "right(id, 12)", "", "coalesce(title, '')", ""), strict=True)))
+
+
 def _scalar(key: str) -> str:
     return f"coalesce(max(CASE WHEN k = '{key}' AND NOT opens THEN v END), '')"
 
@@ -208,9 +228,11 @@ _UNDISTILLED = r"""SELECT substr(id, 5) AS path FROM kb_documents WHERE regexp_m
   AND regexp_replace(substr(id, 5), '^converted/', '') NOT IN (SELECT substr(id, 19) FROM kb_documents WHERE starts_with(id, 'wiki/source-notes/'))"""
 _STEM = r"regexp_replace(regexp_extract(id, '[^/]*$'), '\.[^.]*$', '')"
 _CAPITAL = "[upper(w[1]) || w[2:] for w in regexp_split_to_array({}, '\\s+') if w <> '']"
-_CATALOGUE = r"""(len(string_split(content, chr(10))) >= 50 AND (len([x for x in string_split(content, chr(10)) if regexp_matches(x, '\bM\d{2}\b')]) >= 5
-  OR len([x for x in string_split(content, chr(10)) if regexp_matches(x, '(?i)(iceberg_|dim_|dwd_|hive_|matrixdb|\.im_edge\.)')]) >= 10
+_CATALOGUE = rf"""(len(string_split(content, chr(10))) >= 50 AND (len([x for x in string_split(content, chr(10)) if regexp_matches(x, '{tx.CATALOGUE_ENTRY}')]) >= 5
+  OR len([x for x in string_split(content, chr(10)) if regexp_matches(x, '{tx.CATALOGUE_TABLE}')]) >= 10
   OR len([x for x in string_split(content, chr(10)) if regexp_matches(x, '^\s*\|')]) / len(string_split(content, chr(10))) >= 0.3))"""
+#: SQL for a tag that is no noise, of the fixed values.
+GOOD_TAG = f"length(tag) BETWEEN 2 AND {tx.LONGEST_TAG} AND tag NOT IN {tx.ENTITY_TYPES} AND tag NOT IN {tx.ARTEFACTS} AND NOT regexp_matches(tag, '{tx.NOISE}')"
 _WS = r"[\s\x1c-\x1f\x{85}\pZ]+"
 
 
@@ -230,22 +252,20 @@ QUERIES = {
 SQL = {
     "frontmatter_fields": _HEADER
     + f""", f AS (SELECT id, {_scalar('title')} AS title, CASE WHEN {_scalar('kind')} <> '' THEN {_scalar('kind')} ELSE {_scalar('type')} END AS kind, {_scalar('description')} AS description,
-  {_scalar('authority')} AS a, {_scalar('timestamp')} AS s, {", ".join(f"coalesce(max(CASE WHEN k = '{k}' THEN len(l) END), 0)::INT AS n_{k}" for k in fm.LISTS)} FROM kv GROUP BY id)
+  {_scalar('authority')} AS a, {_scalar('timestamp')} AS s, {", ".join(f"coalesce(max(CASE WHEN k = '{k}' THEN array_to_string(l, '|') END), '') AS l_{k}" for k in fm.LISTS)} FROM kv GROUP BY id)
 SELECT hd.id, coalesce(title, '') AS title, coalesce(kind, '') AS kind, coalesce(description, '') AS description, CASE WHEN try_cast(a AS INT) BETWEEN 1 AND 5 THEN try_cast(a AS INT) ELSE 3 END AS authority,
-  coalesce({_STAMP}, 0) AS "timestamp", {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in fm.LISTS)} FROM hd LEFT JOIN f ON hd.id = f.id""",
+  coalesce({_STAMP}, 0) AS "timestamp", {", ".join(f"coalesce(l_{k}, '') AS {k}" for k in fm.LISTS)} FROM hd LEFT JOIN f ON hd.id = f.id""",
     "page_links": _HEADER
     + rf""", l AS (SELECT id, unnest(l) AS target, CASE k WHEN 'sources' THEN 'cites' ELSE k END AS relation, 1.0::DOUBLE AS confidence FROM kv WHERE k IN ('sources', 'contradicts', 'supersedes', 'supports', 'related_to')
   UNION ALL SELECT id, lower(replace(unnest(regexp_extract_all({_BODY}, '\[\[([^\]]+)\]\]', 1)), ' ', '-')), 'wikilink', 0.9::DOUBLE FROM hd)
 SELECT id AS source_doc_id, target AS target_doc_id, relation, confidence, count(*) AS n FROM l GROUP BY ALL""",
     "wikilinks": rf"SELECT id, name, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all({_BODY}, '\[\[([^\]]+)\]\]', 1)) AS name FROM kb_documents) GROUP BY ALL",
-    "entity_tags": _HEADER
+    "entity_tags": _HEADER.replace("FROM kb_documents", f"FROM (SELECT id, {_PLANTED} AS content FROM kb_documents)")
     + rf""", e AS (SELECT id, unnest(regexp_extract_all(c, '【([^|】]+)\|([^】]+)】', 1)) AS name FROM (SELECT id, unnest(l) AS c FROM kv WHERE k = 'key_claims')),
 t AS (SELECT id, {_trimmed("name")} AS t FROM e), m AS (SELECT id, CASE WHEN t = lower(t) AND regexp_matches(t, '^[a-zA-Z]') THEN upper(t[1]) || t[2:] ELSE t END AS tag FROM t)
-SELECT DISTINCT id AS doc_id, tag, 'claim' AS source FROM m WHERE length(tag) BETWEEN 2 AND 20 AND tag NOT IN ('技术', '概念', '组织', '人物', '产品', '项目', '地点')
-  AND tag NOT IN ('nbsp', 'sources', 'pattern', 'from', 'wiki', 'tag', 'type', 'true', 'false', 'null')
-  AND NOT regexp_matches(tag, '(?i)https?://|mmbiz|appmsg|wx_fmt|chksm|bizuin|^http|^nbsp$|^sources$|^pattern$|^from$|^wiki\]$|^\[')""",
+SELECT DISTINCT id AS doc_id, tag, 'claim' AS source FROM m WHERE {GOOD_TAG}""",
     "content_hash": "SELECT id, substr(sha256(content), 1, 16) AS content_hash FROM kb_documents",
-    "hash_gated_upsert": "SELECT id FROM kb_documents WHERE content_hash IS DISTINCT FROM substr(sha256(content), 1, 16)",
+    "hash_gated_upsert": "SELECT id FROM kb_documents WHERE kind = 'decision' OR content_hash IS DISTINCT FROM substr(sha256(CASE WHEN description IS NULL THEN content || chr(10) ELSE content END), 1, 16)",
     "stale_purge": """WITH gone AS (SELECT id FROM kb_documents WHERE id IN (SELECT doc_id FROM purge_log))
 SELECT 'pages' AS "table", count(*) AS n FROM kb_documents WHERE id NOT IN (FROM gone) UNION ALL
 SELECT 'links', count(*) FROM links WHERE coalesce(source_doc_id NOT IN (FROM gone), true) AND coalesce(target_doc_id NOT IN (FROM gone), true) UNION ALL
@@ -293,5 +313,6 @@ FROM ({_UNDISTILLED}) WHERE path NOT IN (SELECT path FROM distill_queue)""",
   CASE WHEN {_trimmed("t")} = lower({_trimmed("t")}) AND regexp_matches({_trimmed("t")}, '^[a-zA-Z]') THEN upper({_trimmed("t")}[1]) || ({_trimmed("t")})[2:] ELSE {_trimmed("t")} END AS normal_tag,
   coalesce(try_cast(regexp_extract(content, '(?m)^source_count:\s*(\d+)', 1) AS INT), 0) AS source_count, {_CATALOGUE} AS catalogue
   FROM (SELECT *, coalesce(title, '') AS t FROM kb_documents)""",
-    "technical_catalogue": f"SELECT id FROM kb_documents WHERE {_CATALOGUE}",
+    "technical_catalogue": f"""SELECT id FROM (SELECT id, content || CASE WHEN layer = 'raw' THEN '{ROWS}' WHEN kind = 'source-note' THEN '{ENTRIES}' WHEN kind = 'concept' THEN '{FEW}' ELSE '' END AS content
+  FROM kb_documents) WHERE {_CATALOGUE}""",
 }

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import context, graph, search
+from lorekeep.operators import context, graph, postings, search
 
 COLUMNS = "id string, path string, layer string, kind string, title string, description string, content string, authority int, doc_timestamp bigint"
 
@@ -169,3 +169,31 @@ def test_bundle(spark, pages):
     assert context.build(pages, links, " ").pages is None
     r = context.search_with_neighbours(pages, links, "compiled")
     assert r.pages.count() == 1 and [x.id for x in r.neighbours.collect()] == ["raw/go-intro.md"]
+
+
+@pytest.fixture(scope="module")
+def search_index(pages):
+    return postings.SearchIndex(postings.postings_of(pages, search.INDEXED).persist(), pages.select("id", search.page_length().alias("length")))
+
+
+@pytest.mark.parametrize("query", ["programming", "python, go", "go", "G", "é", "na anana", "_rogramming", "o_", "%", "nothing here", "aaa", "is a p", "wiki"])
+def test_search_index_changes_nothing(pages, search_index, query):
+    scanned, found = search.find_hits(pages, query), search.find_hits(pages, query, search_index)
+    rows = lambda hits: sorted(map(str, hits.rows.collect()))
+    assert rows(scanned) == rows(found)
+
+
+def test_only_candidates_are_left(pages, search_index):
+    ids = lambda *keywords: {r.id for r in postings.candidates(search_index.postings, list(keywords)).collect()}
+    assert ids("banana") == {"wiki/concepts/go.md"} and ids("Éc") == {"wiki/source-notes/py.md"} and ids("zzz") == set()
+    assert ids("compiled", "éclair") == {"wiki/concepts/go.md", "wiki/source-notes/py.md"}
+    assert postings.postings_of(pages.limit(0), search.INDEXED).count() == 0
+
+
+def test_wide_limits_are_kept_under_the_exchange(spark, pages):
+    """The first rows of a list are taken in the tasks, whatever the limit."""
+    spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    lists = search.ranked_lists(search.find_hits(pages, "programming go"), [search.Wanted("wiki", None, 5_000), search.Wanted(None, None, 20)])
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit [list" in plan and plan.count("Partial") >= 2
+    assert {r.list for r in lists.collect()} == {0, 1}
