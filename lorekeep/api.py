@@ -22,7 +22,7 @@ from .functions import prompts
 from .functions.notes import set_sources, sources_of, unfenced
 from .functions.text import import_slug, source_count, with_source_count
 from .operators import context, evaluate, graph, index, postings, queue, records, search, synthesis, wiki
-from .session import materialise
+from .session import materialise, scratch_scope
 from .sources import connectors, kb_files
 from .streaming import watch
 
@@ -61,7 +61,18 @@ def init(root: str, force: bool = False) -> None:
 def _one_at_a_time(f):
     @functools.wraps(f)
     def run(self, *args, **kwargs):
-        with self.lock:
+        with self.lock, scratch_scope(self.spark):
+            return f(self, *args, **kwargs)
+
+    return run
+
+
+def _reading(f):
+    """The scratch tables of the call go with it."""
+
+    @functools.wraps(f)
+    def run(self, *args, **kwargs):
+        with scratch_scope(self.spark):
             return f(self, *args, **kwargs)
 
     return run
@@ -117,6 +128,7 @@ class KnowledgeBase:
         size = sum(p.stat().st_size for r in folders for p in r.rglob("*") if p.is_file())
         return row.asDict() | {"index_path": f"{self.root}/index/tables", "index_size": size}
 
+    @_reading
     def search(self, query: str, layer: str | None = None, kind: str | None = None, limit: int = 10, log: bool = True) -> dict:
         notes, synths = search.pools_for(limit)
         pages, links = self.table("pages"), self.table("links")
@@ -140,6 +152,7 @@ class KnowledgeBase:
             raise RequestError("no ids")
         return [r.asDict() for r in wiki.fetch(self.table("pages"), ids[: wiki.MOST_PAGES], full).orderBy("place").collect()]
 
+    @_reading
     def context(self, question: str, limit: int = 10) -> dict:
         b = context.build(self.table("pages"), self.table("links"), question, limit, self.search_index())
         rows = lambda df: [] if df is None else [r.asDict() for r in df.collect()]  # noqa: E731 - bounded by the limit
@@ -213,6 +226,7 @@ class KnowledgeBase:
         Path(self.root, "raw", base).write_bytes(data)
         return f"raw/{base}"
 
+    @_one_at_a_time
     def lint(self, strict: bool = False, clean: bool = False) -> list[dict]:
         """Warnings on pages; with `clean` also those on links, whose broken rows leave the table, and the list of missing concepts is written."""
         pages = index.parse(self.table("pages"))
@@ -234,6 +248,16 @@ class KnowledgeBase:
             raise RequestError(f"{len(rows)} warnings")
         return rows
 
+    @_one_at_a_time
+    def purge_orphans(self, delete: bool = False) -> list[str]:
+        """Notes and converted files whose raw file is gone. They are deleted only when that is asked for, and the tables follow."""
+        gone = [r.id for r in kb_files.orphan_stems(self._files().select("id")).orderBy("id").toLocalIterator()]
+        if delete and gone:
+            for path in gone:
+                Path(self.root, path).unlink(missing_ok=True)
+            self.reindex()
+        return gone
+
     def _red(self) -> Path:
         return Path(self.root, "wiki/index/red_links.json")
 
@@ -400,6 +424,7 @@ class KnowledgeBase:
             sleep(pause)
         return n
 
+    @_reading
     def evaluate(self, questions: list[str]) -> dict:
         """Hit rate and mean reciprocal rank of keyword retrieval for the questions of the first file that is there."""
         asked = kb_files.eval_questions(self.spark, [f"file://{Path(q).absolute()}" for q in questions]).withColumn("item_id", F.monotonically_increasing_id())
@@ -409,6 +434,7 @@ class KnowledgeBase:
 
     # from outside
 
+    @_reading
     def convert(self, convert: Callable[[str, bytes], str | None] | None = None) -> int:
         """Raw files of convertible kinds into Markdown under raw/converted/; returns how many could be. HTML is converted here, other kinds by `convert` (name, bytes), to
         which embedded workbooks are given too. The tasks write the files; their texts never reach the driver."""
@@ -426,6 +452,7 @@ class KnowledgeBase:
             n += connectors.save_texts(other.select(dest(F.col("path")).alias("path"), F.col("markdown").alias("text")), self.root).count()
         return n
 
+    @_reading
     def import_document(self, url: str, runner: str, name: str = "") -> dict:
         """A document with the tables embedded in it: the text with a reference in place of each table, a snapshot of each table, and one data set of their distinct records. `runner` is
         the import path (module:name) of the callable that fetches. Everything is made in a folder of its own, then moved to raw/imported/; only an earlier import is ever replaced."""
@@ -525,6 +552,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--limit", type=int, default=10)
     sub.add_parser("index").add_argument("--full", action="store_true")
     sub.add_parser("lint").add_argument("--strict", action="store_true")
+    sub.add_parser("orphans").add_argument("--delete", action="store_true")
     sub.add_parser("init").add_argument("--force", action="store_true")
     p = sub.add_parser("import")
     p.add_argument("url")
@@ -567,7 +595,7 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         out = {
             "status": kb.status, "files": kb.files, "search": lambda: kb.search(a.query, limit=a.limit), "context": lambda: kb.context(a.query, a.limit),
-            "index": lambda: {"written": kb.reindex(a.full)}, "lint": lambda: kb.lint(a.strict), "import": lambda: kb.import_document(a.url, a.runner or settings.import_runner, a.name),
+            "index": lambda: {"written": kb.reindex(a.full)}, "lint": lambda: kb.lint(a.strict), "orphans": lambda: kb.purge_orphans(a.delete), "import": lambda: kb.import_document(a.url, a.runner or settings.import_runner, a.name),
             "distil": lambda: kb.distil(model(), workers=settings.workers, incremental=True), "synthesize": synthesize, "watch": lambda: kb.watch("5 seconds", converter).awaitTermination(),
             "work": lambda: kb.work(model(), settings.workers), "convert": lambda: {"converted": kb.convert(converter)}, "evaluate": lambda: kb.evaluate(a.questions),
         }[a.command]()

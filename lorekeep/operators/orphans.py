@@ -92,3 +92,20 @@ def orphan_report(links: DataFrame, pages: DataFrame, purges: DataFrame) -> Data
     return per_key.groupBy(F.lit("links").alias("table"), "side", "relation", "month", reason.alias("reason")).agg(
         F.sum("n").alias("n_ends"), F.countDistinct("key").alias("n_keys")
     )
+
+
+def references(rows: DataFrame, table: str, field: str, at: str | None = None) -> DataFrame:
+    """table, field, month, key, n: the cleaned values of a foreign key and how many rows have each, per calendar month (UTC) of `at` (epoch seconds; null without one)."""
+    month = F.date_format(F.timestamp_seconds(at), "yyyy-MM") if at else F.lit(None).cast("string")
+    named = rows.select(F.lit(table).alias("table"), F.lit(field).alias("field"), month.alias("month"), reference_key(F.col(field)).alias("key"))
+    return named.where(F.col("key") != "").groupBy("table", "field", "month", "key").agg(F.count("*").alias("n"))
+
+
+def missing_parents(refs: list[DataFrame], parents: DataFrame, key: str) -> DataFrame:
+    """table, field, month, n_rows, n_keys: references of any number of tables (each as `references` gives it) to keys that no parent has. Null and blank keys refer to nothing.
+    Rows are counted per key before anything is joined, so the anti-join moves distinct keys, and no way back to the rows is needed."""
+    all_ = refs[0]
+    for r in refs[1:]:
+        all_ = all_.unionByName(r)
+    lost = all_.join(parents.select(F.col(key).alias("key")).where("key IS NOT NULL").distinct(), "key", "left_anti")
+    return lost.groupBy("table", "field", "month").agg(F.sum("n").alias("n_rows"), F.countDistinct("key").alias("n_keys"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +37,39 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{at}"
 
 
+_scopes = threading.local()
+
+
+def _path(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, deleted when the JVM ends."""
+    """A fresh path in the shared folder, deleted at the end of the scratch scope that it was made in, or else when the JVM ends."""
     at = f"{shared_dir(spark)}/lorekeep/{label}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(at)
+    path, system = _path(spark, at)
+    system.deleteOnExit(path)
     return at
 
 
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are gone at its end: for calls that hand over results, not tables."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    _scopes.open.append([])
+    try:
+        yield
+    finally:
+        for at in _scopes.open.pop():
+            path, system = _path(spark, at)
+            system.delete(path, True)
+            system.cancelDeleteOnExit(path)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes `df` as a table in the shared folder and reads it back: later stages neither recompute it
     nor depend on the executors that made it."""
@@ -79,8 +107,3 @@ def broadcastable(df: DataFrame) -> DataFrame:
     row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
     size = df.agg(F.sum(row.cast("bigint"))).first()[0] or 0
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """As broadcastable, with a stated size of rows."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -243,3 +243,13 @@ def test_queue_stream(spark, tmp_path):
     assert send(1, ("a", "enqueued", None, 1), ("a", "enqueued", None, 2), ("b", "enqueued", None, 1), ("c", "failed", "x", 1)) == {"a": ("pending", 0), "b": ("pending", 0)}
     assert send(2, ("a", "started", None, 3), ("a", "failed", "x", 4), ("b", "started", None, 3)) == {"a": ("pending", 1), "b": ("processing", 0)}
     assert send(3, *[("a", "failed", "x", 5 + i) for i in range(4)], ("b", "done", None, 9)) == {"a": ("failed", 5), "b": ("done", 0)}
+
+
+def test_references_of_any_table(spark):
+    rows = spark.createDataFrame([("a.md",), ("gone.md#x",), (" gone.md",), (None,), (" ",), ("gone2.md",)], "ref string").withColumn("key", F.lit("clash"))
+    timed = spark.createDataFrame([("gone.md", 0), ("gone.md", 86_400 * 40), ("gone.md", None)], "ref string, at bigint")
+    pages = spark.createDataFrame([("a.md",), (None,), ("a.md",)], "id string")
+    refs = [orphans.references(rows, "tags", "ref"), orphans.references(timed, "links", "ref", "at")]
+    got = {tuple(r) for r in orphans.missing_parents(refs, pages, "id").collect()}
+    assert got == {("tags", "ref", None, 3, 2), ("links", "ref", "1970-01", 1, 1), ("links", "ref", "1970-02", 1, 1), ("links", "ref", None, 1, 1)}
+    assert orphans.missing_parents([r.limit(0) for r in refs], pages, "id").count() == 0
