@@ -109,32 +109,9 @@ def told_apart(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return signed, per_class.drop("_k2")
 
 
-def similar_texts(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): members is k, id, n (shingles); pairs is k_a, k_b (k_a < k_b), similarity, all exact.
-
-    k numbers a class of texts with equal shingle sets, told apart by 128 bits (two hashes of the set; where two sets have one k, both get
-    another). Texts of fewer than three words, empty and
-    null ones have no shingles and are in no class. Rows with a null key are ignored; a repeated key with the same text
-    counts once. Further columns are not read.
-    """
-    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    kind = docs.schema["id"].dataType.simpleString()
-    signed = spread(docs, "id").mapInArrow(_sign, f"id {kind}, n int, k bigint, k2 bigint, bands array<bigint>, sig array<bigint>")
-    signed = materialise(signed, "signatures")
-    signed, per_class = told_apart(signed)
-    members = signed.select("k", "id", "n").distinct()
-    # Of a class of several rows only the representative's row is banded.
-    copied = broadcastable(materialise(per_class.where("copies > 1").select("k", F.col("id").alias("rep")), "copied"))
-    reps = signed.join(copied, "k", "left").where(F.col("rep").isNull() | (F.col("id") == F.col("rep")))
-    banded = reps.select(F.explode("bands").alias("band"), "k")
-    met = banded.groupBy("band").agg(F.min("k").alias("k_a"), F.max("k").alias("k_b"), F.count("*").alias("classes")).where("k_a < k_b")
-    met = materialise(met, "bands-met")
-    twos = met.where("classes = 2").select("k_a", "k_b")
-    many = banded.join(broadcastable(met.where("classes > 2").select("band")), "band")
-    many = materialise(many, "bands-many")
-    more = many.toDF("band", "k_a").join(many.toDF("band", "k_b"), "band").where("k_a < k_b").select("k_a", "k_b")
-    pairs = materialise(twos.unionByName(more).distinct(), "candidates")
-
+def _verified(docs: DataFrame, signed: DataFrame, per_class: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The candidates (k_a, k_b) that are similar: by signature first, then by shingle sets."""
+    pairs = materialise(pairs.distinct(), "candidates")
     sigs = signed.select("k", *[F.col("sig")[i].alias(f"s{i}") for i in range(_WORDS)])
     wanted = pairs.select(F.explode(F.array("k_a", "k_b")).alias("k")).distinct()
     wanted = broadcastable(materialise(wanted, "candidate-keys"))
@@ -158,7 +135,7 @@ def similar_texts(docs: DataFrame, key: str, text: str, threshold: float) -> tup
     texts = docs.join(keys, "id").select("k", "k2", "text")
     sets = materialise(texts.mapInArrow(_shingle_sets, "k bigint, sh array<bigint>").dropDuplicates(["k"]), "near-sets")
     common = F.size(F.array_intersect("sh_a", "sh_b"))
-    exact = (
+    return (
         near.join(sets.toDF("k_a", "sh_a"), "k_a")
         .join(sets.toDF("k_b", "sh_b"), "k_b")
         .withColumn("common", common)
@@ -166,4 +143,42 @@ def similar_texts(docs: DataFrame, key: str, text: str, threshold: float) -> tup
         .where(F.col("similarity") >= threshold - EPS)
         .select("k_a", "k_b", "similarity")
     )
-    return members, exact
+
+
+def similar_texts(docs: DataFrame, key: str, text: str, threshold: float, connected: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): members is k, id, n (shingles); pairs is k_a, k_b (k_a < k_b), similarity, all exact.
+
+    With `connected` the pairs need only connect what is similar, directly or through others: of the classes that share a band each is compared with the
+    least one, and only those unlike it with all others; so a band that very many versions of one text share costs one comparison each.
+
+    k numbers a class of texts with equal shingle sets, told apart by 128 bits (two hashes of the set; where two sets have one k, both get
+    another). Texts of fewer than three words, empty and
+    null ones have no shingles and are in no class. Rows with a null key are ignored; a repeated key with the same text
+    counts once. Further columns are not read.
+    """
+    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    kind = docs.schema["id"].dataType.simpleString()
+    signed = spread(docs, "id").mapInArrow(_sign, f"id {kind}, n int, k bigint, k2 bigint, bands array<bigint>, sig array<bigint>")
+    signed = materialise(signed, "signatures")
+    signed, per_class = told_apart(signed)
+    members = signed.select("k", "id", "n").distinct()
+    # Of a class of several rows only the representative's row is banded.
+    copied = broadcastable(materialise(per_class.where("copies > 1").select("k", F.col("id").alias("rep")), "copied"))
+    reps = signed.join(copied, "k", "left").where(F.col("rep").isNull() | (F.col("id") == F.col("rep")))
+    banded = reps.select(F.explode("bands").alias("band"), "k")
+    met = banded.groupBy("band").agg(F.min("k").alias("k_a"), F.max("k").alias("k_b"), F.count("*").alias("classes")).where("k_a < k_b")
+    met = materialise(met, "bands-met")
+    twos = met.where("classes = 2").select("k_a", "k_b")
+    many = banded.join(broadcastable(met.where("classes > 2").select("band")), "band")
+    many = materialise(many, "bands-many")
+    if not connected:
+        more = many.toDF("band", "k_a").join(many.toDF("band", "k_b"), "band").where("k_a < k_b").select("k_a", "k_b")
+        return members, _verified(docs, signed, per_class, twos.unionByName(more), threshold)
+    least = met.where("classes > 2").select("band", "k_a")
+    star = many.join(least, "band").where("k <> k_a").select("band", "k_a", F.col("k").alias("k_b"))
+    first = twos.unionByName(star.select("k_a", "k_b"))
+    along = materialise(_verified(docs, signed, per_class, first, threshold), "along-stars")
+    unlike = materialise(star.join(along.select("k_a", "k_b"), ["k_a", "k_b"], "left_anti").select("band", F.col("k_b").alias("x")), "unlike")
+    rest = unlike.join(many, "band").where("x <> k").select(F.least("x", "k").alias("k_a"), F.greatest("x", "k").alias("k_b"))
+    rest = rest.join(first, ["k_a", "k_b"], "left_anti")
+    return members, along.unionByName(_verified(docs, signed, per_class, rest, threshold))

@@ -23,7 +23,7 @@ def p4_found(spark, sf_dir):
 def p4_groups(spark, sf_dir):
     """One row per page that has versions: its group (the least id in it) and the group's size. Groups are the connected components
     of similar pages; copies are linked through their class, never expanded into pairs."""
-    members, pairs = similar_texts(table(spark, sf_dir, "kb_documents"), "id", "content", THRESHOLD)
+    members, pairs = similar_texts(table(spark, sf_dir, "kb_documents"), "id", "content", THRESHOLD, connected=True)
     roots = components(pairs.toDF("u", "v", "similarity"))
     placed = members.join(roots, members["k"] == roots["node"], "left").select("id", F.coalesce("root", "k").alias("root")).distinct()
     groups = placed.groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("n_pages")).where("n_pages > 1")

@@ -52,6 +52,27 @@ def test_pairs_equal_brute_force(spark):
     assert found(spark, rows, 0.6) == brute(rows, 0.6)
 
 
+def test_connected_pairs_give_the_same_groups(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=4))
+    base, rows = [word() for _ in range(120)], []
+    for i in range(60):  # versions of versions: some are far from the first
+        base = [word() if rng.random() < 0.03 else w for w in base]
+        rows.append((f"v{i:02d}", " ".join(base)))
+    rows += texts()
+    df = spark.createDataFrame(rows, "id string, content string")
+    groups = []
+    for connected in (False, True):
+        members, pairs = similar_texts(df, "id", "content", 0.6, connected)
+        links = pairs.collect()
+        roots = {r.node: r.root for r in components(pairs.toDF("u", "v", "similarity")).collect()}
+        by_root = {}
+        for r in members.collect():
+            by_root.setdefault(roots.get(r.k, r.k), set()).add(r.id)
+        groups.append((sorted(map(sorted, by_root.values())), len(links)))
+    assert groups[0][0] == groups[1][0] and groups[1][1] <= groups[0][1]
+
+
 def test_recall_near_the_threshold(spark):
     """Of pairs whose similarity is 0.60 to 0.65 the bands miss 3 in 10,000 at most; so of 600 all but a few are found."""
     rng = random.Random(8)
