@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .functions import prompts
 from .functions.notes import set_sources, sources_of, unfenced
-from .functions.text import import_slug, source_count, with_source_count
+from .functions.text import import_slug, note_title, source_count, stem, with_source_count
 from .operators import context, evaluate, graph, index, postings, queue, records, search, synthesis, wiki
 from .session import materialise, scratch_scope
 from .sources import connectors, kb_files
@@ -317,10 +317,10 @@ class KnowledgeBase:
         made = materialise(synthesis.distil(raw, llm, system, stamp).withColumn("dest", synthesis.note_path(F.col("path"))), "notes")
         good = made.where("note IS NOT NULL")
         connectors.save_texts(good.select(F.col("dest").alias("path"), F.col("note").alias("text")), self.root).count()
-        rows = good.select("path", "dest").orderBy("path").collect()
+        rows = good.select("path", "dest", note_title(F.col("note"), stem(F.col("dest"))).alias("title")).orderBy("path").collect()
         with Path(self.root, "wiki/log.md").open("a") as f:
             for r in rows:
-                f.write(synthesis.log_line(stamp[:10], Path(r.dest).stem))
+                f.write(synthesis.log_line(stamp[:10], r.title))
         bad = {r.path: r.error for r in made.where("note IS NULL").select("path", "error").collect()}
         seen = {r.path for r in rows} | set(bad)
         errors = [(p, bad.get(f"raw/{p}", "no such page")) for p in taken if f"raw/{p}" in bad or f"raw/{p}" not in seen]

@@ -62,7 +62,7 @@ def connecting_tags(tags: DataFrame, n_pages: int) -> DataFrame:
     """tag, doc_id (distinct) of the tags rare enough to connect pages. The common ones, which hold most rows, are dropped by the size of their
     group before anything is joined."""
     pairs = tags.where("tag IS NOT NULL AND doc_id IS NOT NULL").select("tag", "doc_id").distinct()
-    rare = tag_pages(tags).where(F.col("n_docs") <= most_common(n_pages)).select("tag")
+    rare = pairs.groupBy("tag").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") <= most_common(n_pages)).select("tag")  # one exchange makes both distinct
     return pairs.join(rare, "tag", "left_semi")
 
 

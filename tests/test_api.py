@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from lorekeep.api import KnowledgeBase, RequestError, init, main
 from lorekeep import tools
 from lorekeep.service import Service, Settings
+from lorekeep.session import shared_dir
 from lorekeep.sources.model_client import HttpModel
 
 PAGE = "---\ntitle: Go\ntype: concept\nsources:\n  - raw/go.md\ntimestamp: 2026-01-01\n---\nGo compiles fast. [[Other]]\n"
@@ -40,6 +41,16 @@ def test_reading(kb):
     assert (Path(kb.root) / "wiki/index.md").read_text().endswith("* [concepts](concepts/) — 2 page(s)\n")
 
 
+def test_scratch_tables_go_with_the_call(kb, spark):
+    at = Path(shared_dir(spark).removeprefix("file://"), "lorekeep")
+    before = set(at.iterdir())
+    kb.search("compiles", log=False)
+    kb.context("compiles")
+    kb.reindex()
+    assert set(at.iterdir()) <= before
+    assert kb.purge_orphans() == []
+
+
 def test_lint_and_red_links(kb):
     assert kb.lint() == []
     warned = kb.lint(clean=True)
@@ -81,7 +92,7 @@ def note_model(answer="[]"):
 
 def test_notes_and_pages(kb):
     assert kb.distil(note_model(), n=1) == {"done": 2, "failed": 0} and (Path(kb.root) / "wiki/source-notes/go.md").exists()  # round after round
-    assert kb.table("queue").count() == 0
+    assert kb.table("queue").count() == 0 and (Path(kb.root) / "wiki/log.md").read_text().count("ingest | Note\n") == 2
     note, other, third = "wiki/source-notes/go.md", "wiki/source-notes/new/note.md", "wiki/concepts/go.md"
     llm = Model(plan("zig", note, other), plan("y", note), plan("../../evil", note, type="../x"))
     assert kb.synthesize(llm) == 2 and kb.synthesize(llm) == 0

@@ -253,3 +253,13 @@ def test_references_of_any_table(spark):
     got = {tuple(r) for r in orphans.missing_parents(refs, pages, "id").collect()}
     assert got == {("tags", "ref", None, 3, 2), ("links", "ref", "1970-01", 1, 1), ("links", "ref", "1970-02", 1, 1), ("links", "ref", None, 1, 1)}
     assert orphans.missing_parents([r.limit(0) for r in refs], pages, "id").count() == 0
+
+
+def test_judged_lists(spark):
+    rows = spark.createDataFrame([("q1", ["a", "b", "c", "d"]), ("q2", ["a", "b"]), ("q3", []), ("q4", None), ("q5", ["a"]), ("q6", ["a"])], "question string, contexts array<string>")
+
+    def judge(system, text):
+        return {"q1": "I say [1, 0, 1, 0, 1]", "q2": "[1]", "q5": "no idea", "q6": "[1]"}[text[:2]]
+
+    got = {r.question: r.precision for r in evaluate.judged_list(rows, judge, "sys").collect()}
+    assert got == {"q1": 0.5, "q2": 0.5, "q3": 0.0, "q4": 0.0, "q5": 0.5, "q6": 1.0}
