@@ -352,7 +352,7 @@ def _halves(cells: DataFrame, least: int) -> DataFrame:
     of a half have in common. A half whose common part isn't wholly in the text has no stretch."""
     mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
     half = F.explode(F.array(F.struct(F.col("lo").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("hi").alias("b"))))
-    out = cells.select("*", half.alias("half")).select("*", "half.a", "half.b")
+    out = cells.select("*", half.alias("half")).select("*", "half.a", "half.b").where("a <= b")
     core_from, core_to = F.col("off") + F.col("b"), F.col("off") + F.col("a") + least
     out = out.where((core_from >= 0) & (core_to <= F.length("text")))
     begin = F.greatest(F.col("off") + F.col("a"), F.lit(0))
