@@ -271,9 +271,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _bitmap(grams: DataFrame) -> tuple[bytes, int]:
-    """(bits, log2 of their number) of hashes, by their highest bits: put together in the tasks, bounded on the driver."""
-    n = grams.count()
+def _bitmap(grams: DataFrame, n: int) -> tuple[bytes, int]:
+    """(bits, log2 of their number) of n hashes, by their highest bits: put together in the tasks, bounded on the driver."""
     log = min(MOST_BITS, max(LEAST_BITS, (n * BITS_PER_GRAM).bit_length()))
     place = F.shiftrightunsigned("gram", 64 - log)
     size = (1 << log) // 8
@@ -298,23 +297,23 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     items = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).cast("bigint"), F.col(item_text)).distinct()
     parts = items.mapInArrow(_parts(min_words, shard_chars), "item bigint, part int, words array<string>, length int, grams array<bigint>, places array<bigint>")
     parts = materialise(parts, "item-parts")
-    chars = parts.agg(F.sum(F.aggregate("words", F.lit(0), lambda n, w: n + F.length(w) + 1).cast("bigint"))).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
+    chars = F.aggregate("words", F.lit(0), lambda n, w: n + F.length(w) + 1)
+    # lengths are GRAM + 1 different values at most
+    totals = parts.agg(F.sum(chars.cast("bigint")).alias("chars"), F.sum(F.size("places")).alias("places"), F.collect_set("length").alias("lengths")).first()
+    shards = max(1, -(-(totals.chars or 0) // shard_chars))
     parts = parts.withColumn("shard", F.pmod(F.xxhash64("item", "part"), F.lit(shards)).cast("int"))
-    grams = materialise(parts.select(F.explode("grams").alias("gram"), "shard").distinct(), "item-grams")
+    grams = parts.select(F.explode("grams").alias("gram"), "shard").distinct()
     built = parts.select("shard", "item", "words").repartition(min(shards, 4 * sc.defaultParallelism), "shard").sortWithinPartitions("shard", "item")
     built = materialise(built.mapInArrow(_build(min_words), "shard int, index binary"), "item-indexes")
-    lengths = sorted(r.length for r in parts.select("length").distinct().collect())  # at most GRAM + 1
 
-    places = parts.select(F.explode("places").alias("gram")).distinct()
-    shared = sc.broadcast((*_bitmap(places), [n for n in lengths if n], 0 in lengths))
+    bits = _bitmap(parts.select(F.explode("places").alias("gram")), totals.places or 0)
+    shared = sc.broadcast((*bits, sorted(n for n in totals.lengths if n), 0 in totals.lengths))
     found = spread(docs, "doc_id").mapInArrow(_suspects(shared, min_words), f"doc_id {kind}, text string, hits array<bigint>")
     found = materialise(found.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary")))), "suspects")
     shared.destroy()
     routes = found.select("digest", F.explode("hits").alias("gram")).join(grams, "gram").select("digest", "shard").distinct()
     routes = materialise(routes, "leak-routes")
     salts = routes.groupBy("shard").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    salts = materialise(salts, "leak-salts")
     tasks = min(salts.agg(F.sum("salts")).first()[0] or 1, 20_000)
     salt = lambda c: F.pmod(F.xxhash64(c), F.col("salts")).cast("int")
     texts = found.select("digest", "text").dropDuplicates(["digest"])
