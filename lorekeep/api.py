@@ -33,7 +33,7 @@ SCHEMAS = {
     "tags": "doc_id string, tag string, source string",
     "queue": "path string, status string, retry_count int, last_error string, queued_at bigint, updated_at bigint",
     "state": "path string, hash string",
-    "postings": "gram string, id string",
+    "grams": postings.SCHEMA,
     "sizes": "id string, length int",
 }
 MOST_UPLOAD = 100 << 20
@@ -100,14 +100,14 @@ class KnowledgeBase:
         return index.migrated(read, {c.split()[0]: (c.split()[1], None) for c in SCHEMAS[name].split(", ")})
 
     def search_index(self) -> postings.SearchIndex | None:
-        return postings.SearchIndex(self.table("postings"), self.table("sizes")) if "postings" in self._manifest()["tables"] else None
+        return postings.SearchIndex(self.table("grams"), self.table("sizes")) if "grams" in self._manifest()["tables"] else None
 
     @_one_at_a_time
     def _save(self, since: float | None = None, **tables: DataFrame) -> None:
         """Writes the given tables; the others stay as they are. `since` is when the scan they come from began."""
         old, at = self._manifest(), Path(self.root, "index/tables")
         at.mkdir(parents=True, exist_ok=True)
-        new = {"version": old["version"] + 1, "tables": dict(old["tables"]), "before": old["tables"], "since": old.get("since") if since is None else since}
+        new = {"version": old["version"] + 1, "tables": {k: v for k, v in old["tables"].items() if k in SCHEMAS}, "before": old["tables"], "since": old.get("since") if since is None else since}
         for name, df in tables.items():
             folder = f"{name}-{new['version']}-{uuid.uuid4().hex[:8]}"
             df.write.parquet(f"file://{at / folder}")
@@ -181,13 +181,13 @@ class KnowledgeBase:
         run = index.index_run(self.table("pages"), self.table("links"), self.table("tags"), scanned, int(begun), full, ids)
         n = run["written"].count()
         tables, moved = {}, n or not run["purged"].isEmpty()
-        if moved or "pages" not in self._manifest()["tables"]:
+        if moved or not {"pages", "grams"} <= self._manifest()["tables"].keys():
             touched = run["written"].unionByName(run["purged"])
             fresh = run["pages"].join(run["written"], "id", "left_semi")
             left = lambda name: self.table(name).join(touched, "id", "left_anti")
-            grams = left("postings").select("gram", "id").unionByName(postings.postings_of(fresh, search.INDEXED))
+            grams = postings.updated(self.table("grams"), run["pages"], touched.select("id"), search.INDEXED) if self.search_index() else postings.postings_of(run["pages"], search.INDEXED)
             tables = {x: run[x] for x in ("pages", "links", "tags")}
-            tables |= {"postings": postings.sorted_postings(grams), "sizes": left("sizes").select("id", "length").unionByName(fresh.select("id", search.page_length().alias("length")))}
+            tables |= {"grams": postings.sorted_postings(grams), "sizes": left("sizes").select("id", "length").unionByName(fresh.select("id", search.page_length().alias("length")))}
         waiting = self.table("queue")
         new = materialise(queue.enqueue(waiting, kb_files.undistilled(ids), int(begun)), "enqueued")
         if not new.isEmpty() or "queue" not in self._manifest()["tables"]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, postings, search
-from ..session import materialise, table
+from ..session import materialise, spread, table
 from .graph_queries import ADJACENCY, MERGED_SQL
 
 QUERY, AS_OF = "pipeline, incident 模板，db", 1767225600
@@ -47,7 +47,7 @@ def fts_three_phase(spark, sf_dir):
 def fts_postings(spark, sf_dir):
     """The same search over a search index, which is written first."""
     pages = _tables(spark, sf_dir)[0]
-    grams = materialise(postings.sorted_postings(postings.postings_of(pages, search.INDEXED)), "postings")
+    grams = materialise(postings.sorted_postings(postings.postings_of(spread(pages, "id"), search.INDEXED)), "postings")
     index = postings.SearchIndex(grams, pages.select("id", search.page_length().alias("length")))
     return _rounded(search.search(pages, QUERY, limit=LIMIT, index=index).drop("doc_timestamp"), "fts_rank")
 

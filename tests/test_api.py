@@ -51,6 +51,18 @@ def test_scratch_tables_go_with_the_call(kb, spark):
     assert kb.purge_orphans() == []
 
 
+def test_index_of_an_older_version_is_made_anew(kb):
+    at = Path(kb.root) / "index/tables/manifest.json"
+    manifest = json.loads(at.read_text())
+    manifest["tables"]["postings"] = manifest["tables"].pop("grams")
+    at.write_text(json.dumps(manifest))
+    assert kb.search_index() is None and len(kb.search("compiles", log=False)["results"]) == 2  # by a scan
+    assert kb.reindex() == 0 and "postings" not in kb._manifest()["tables"]
+    held = kb.table("grams").where("gram = ''").selectExpr("explode(ids) AS id").collect()
+    assert sorted(r.id for r in held) == sorted(r.id for r in kb.table("pages").select("id").collect())
+    assert len(kb.search("compiles", log=False)["results"]) == 2
+
+
 def test_lint_and_red_links(kb):
     assert kb.lint() == []
     warned = kb.lint(clean=True)

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,6 +191,45 @@ def test_only_candidates_are_left(pages, search_index):
     assert postings.postings_of(pages.limit(0), search.INDEXED).count() == 0
 
 
+def test_postings_are_written_where_pages_are_read(pages):
+    """A row for each gram of a segment, not for each page that holds it; no task has to take the rows of others."""
+    found = postings.postings_of(pages.coalesce(1), search.INDEXED)
+    grams = {(c.lower() + "\x00\x00")[i : i + 3] for p in PAGES for c in (p[0], p[4], p[6], p[3], p[2]) if c for i in range(len(c))}
+    rows = found.collect()
+    assert sorted(r.gram for r in rows) == ["", *sorted(grams)] and len({r.segment for r in rows}) == 1
+    assert "Exchange" not in postings.sorted_postings(found)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_both_ways_to_a_segment():
+    pick = random.Random(5)
+    for letters in ("ab", "ab\x00é模😀", "".join(map(chr, range(97, 600)))):
+        pages = [["".join(pick.choices(letters, k=pick.choice((0, 1, 2, 3, 50)))) for _ in range(3)] for _ in range(40)] + [["", "", ""]]
+        for some in (pages, pages[:1], pages[-1:]):
+            once, slow = postings._at_once(some), postings._one_by_one(some)
+            assert [list(x) for x in once] == [list(x) for x in slow]
+            for g, begin, end in zip(once[0], once[1][:-1], once[1][1:], strict=True):
+                assert list(once[2][begin:end]) == [i for i, p in enumerate(some) if any(c[j : j + 3] == g for v in p for c in [v + "\x00\x00"] for j in range(len(v)))]
+
+
+def test_many_segments_and_updates(spark, monkeypatch):
+    """Segments by task; after an update they hold what a new index would."""
+    monkeypatch.setattr(postings, "SMALL_PAGES", 2)
+    text = lambda n: f"number {n} of words{n % 7}"
+    made = lambda numbers: spark.createDataFrame([page(f"wiki/{n}.md", f"T{n}", "concept", text(n + shift)) for n, shift in numbers], COLUMNS)
+    old = made([(n, 0) for n in range(60)]).repartitionByRange(4, "id")
+    built = postings.postings_of(old, search.INDEXED).persist()
+    ids = lambda index, *keywords: sorted(r.id for r in postings.candidates(index, list(keywords)).collect())
+    assert built.select("segment").distinct().count() == 4
+    assert ids(built, "words3", "T59") == sorted(f"wiki/{n}.md" for n in range(60) if n % 7 == 3 or n == 59)
+    now = made([(n, 0) for n in range(60) if n != 3] + [(60, 0)]).where("id <> 'wiki/10.md'").unionByName(made([(10, 100)]))
+    touched = spark.createDataFrame([("wiki/3.md",), ("wiki/10.md",), ("wiki/60.md",)], "id string")
+    after = postings.updated(built, now, touched, search.INDEXED).persist()
+    left = {r.segment for r in built.select("segment").distinct().collect()} & {r.segment for r in after.select("segment").distinct().collect()}
+    assert 0 < len(left) < 4
+    assert ids(after, "words3") == sorted(f"wiki/{n}.md" for n in range(61) if n % 7 == 3 and n not in (3, 10)) and ids(after, "words5") == sorted(["wiki/10.md", *(f"wiki/{n}.md" for n in range(61) if n % 7 == 5)])
+    assert ids(after, "wiki") == sorted(f"wiki/{n}.md" for n in range(61) if n != 3) and ids(after, "3.m") == ["wiki/13.md", "wiki/23.md", "wiki/33.md", "wiki/43.md", "wiki/53.md"]
+
+
 def test_wide_limits_are_kept_under_the_exchange(spark, pages):
     """The first rows of a list are taken in the tasks, whatever the limit."""
     spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
